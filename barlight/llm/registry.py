@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import fingerprints, langid, media, packing, wavelet
+from barlight.llm import fingerprints, jaccard, langid, media, packing, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_wavelet_shards": wavelet.op2_wavelet_shards,
     "op3_language": langid.op3_language,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op10_media": media.op10_media,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import fingerprints, jaccard, langid, media, packing, wavelet
+from barlight.llm import fingerprints, jaccard, langid, media, mixing, packing, quality, substrings, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,7 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": langid.op3_language,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_substrings": substrings.op6_substrings,
+    "op7_quality": quality.op7_quality,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_media": media.op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}

@@ -4,10 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barlight.llm.common import shared_dir
+from barlight.llm.jaccard import jaccard_classes
+from barlight.llm.mixing import domain_of, mix, mixed_documents
 from barlight.llm.packing import digest, pack_documents
+from barlight.llm.substrings import without_repeats
+from barlight.llm.toxicity import learn
+
+#: Mixing keeps this share of the tokens, no source being read more than this many times.
+MIX_SHARE = 0.9
+MIX_EPOCHS = 2
+
+
+def same_row(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs joined with found(__id, __tag, ..) on doc_id and a hash of the text, nulls included."""
+    return docs.withColumn("__hash", F.xxhash64("text")).join(
+        found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__tag"))
+    )
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that are scored toxic (0.5 or more); all labels may be learned from."""
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(docs, docs.columns).filter("__score < 0.5").select(*columns(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each class of near copies.
+
+    Rows that repeat the kept one, id and text, stay with it. Null ids count as one least id.
+    """
+    kept = jaccard_classes(docs).filter("doc_id <=> class_id").select("doc_id", "tag").distinct()
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+    return same_row(docs, kept).select(*columns(docs))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts; documents of which nothing is left go."""
+    found = without_repeats(docs)
+    found = found.filter(~((F.size("removed") > 0) & (F.trim("text") == "")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        found = found.withColumn("n_chars", F.when(F.size("removed") > 0, length).otherwise(F.col("n_chars")))
+    return found.select(*columns(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Select documents by domain, language and source; n_chars follows a cut text."""
+    grouped = docs.select("doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain"))
+    out = mixed_documents(docs, mix(grouped, share=MIX_SHARE, epochs=MIX_EPOCHS))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +71,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("substrings", substrings),
+    ("mixing", mixing),
     ("packing", packing),
 ]
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm.common import WordHasher, arrow_map, mix64, shingles, slices, words_of, written
@@ -77,21 +77,72 @@ def set_key(grams: np.ndarray, text: str | None) -> bytes:
     return xxh3_128_digest(grams.tobytes() if len(grams) else b"\0" + (text or "").encode("utf-8", "surrogatepass"))
 
 
+#: A bitmap of wanted rows has 32 bits a row, within these bounds (8 KB and 16 MB).
+BITMAP = (1 << 16, 1 << 27)
+CHUNK = 1 << 16
+
+
+def bitmap(tags: DataFrame) -> tuple[int, dict[int, bytes]]:
+    """A bitmap of hashed (doc_id, tag) in chunks, and its size in bits: a first test of membership.
+
+    Its size is bounded whatever the number of tags; a full one only lets more rows through.
+    """
+    bits = BITMAP[0]
+    wanted = 32 * tags.count()
+    while bits < min(wanted, BITMAP[1]):
+        bits *= 2
+
+    def made(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot in batch["slot"]:
+                chunks.setdefault(slot // CHUNK, np.zeros(CHUNK, bool))[slot % CHUNK] = True
+        yield {"chunk": list(chunks), "bits": [np.packbits(c).tobytes() for c in chunks.values()]}
+
+    slots = tags.select(slot_of(F.col("tag"), bits).alias("slot")).distinct()
+    # a chunk's slots meet in one task: at most CHUNK of them
+    slots = slots.repartition(F.floor(F.col("slot") / CHUNK))
+    found = arrow_map(slots, made, "chunk long, bits binary").collect()
+    return bits, {r["chunk"]: bytes(r["bits"]) for r in found}
+
+
+def slot_of(tag: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(tag, F.col("doc_id")), F.lit(bits))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """key, grams: the n-gram sets of the wanted rows, made anew from their texts."""
+    """key, grams: the n-gram sets of the wanted rows, made anew from their texts.
+
+    Rows outside the bitmap of wanted rows aren't read as text at all, so that only sets which
+    are wanted (and few others) are shuffled; the join on key and id decides.
+    """
+    bits, chunks = bitmap(wanted.select("doc_id", "tag"))
+    shared = docs.sparkSession.sparkContext.broadcast(chunks)
 
     def made(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
         hasher = WordHasher()
+        chunks = shared.value
+
+        def there(slot: int) -> bool:
+            chunk = chunks.get(slot // CHUNK)
+            at = slot % CHUNK
+            return chunk is not None and bool(chunk[at >> 3] & (128 >> (at & 7)))
+
         for batch in batches:
             for part in slices(batch, 512):
-                grams = [shingles(hasher(words_of(t)), words) for t in part["text"]]
-                keys = [set_key(g, t) for g, t in zip(grams, part["text"], strict=True)]
-                same = [i for i, k in enumerate(keys) if k == part["key"][i]]
-                yield {"key": [keys[i] for i in same], "grams": [grams[i].tobytes() for i in same]}
-
-    tagged = docs.select(F.col("doc_id").alias("__id"), "text", F.xxhash64("text").alias("__tag"))
-    rows = tagged.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__tag").eqNullSafe(F.col("tag")))
-    return arrow_map(rows.select("key", "text"), made, "key binary, grams binary").dropDuplicates(["key"])
+                rows = [i for i, s in enumerate(part["slot"]) if there(s)]
+                grams = [shingles(hasher(words_of(part["text"][i])), words) for i in rows]
+                yield {
+                    "__id": [part["doc_id"][i] for i in rows],
+                    "__key": [set_key(g, part["text"][i]) for g, i in zip(grams, rows, strict=True)],
+                    "grams": [g.tobytes() for g in grams],
+                }
+
+    tagged = docs.select("doc_id", "text", slot_of(F.xxhash64("text"), bits).alias("slot"))
+    made_sets = arrow_map(tagged, made, "__id long, __key binary, grams binary")
+    least = wanted.select("key", F.col("doc_id").alias("__least"))
+    found = made_sets.join(least, (F.col("__key") == F.col("key")) & F.col("__id").eqNullSafe(F.col("__least")))
+    return found.select("key", "grams").dropDuplicates(["key"])
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY
+from barlight.session import written
 
 
 def ordered_index(df: DataFrame, order: list[str], partitions: int | None = None, key: str = KEY) -> DataFrame:
@@ -16,7 +17,8 @@ def ordered_index(df: DataFrame, order: list[str], partitions: int | None = None
     """
     columns = [F.col(c) for c in (key, *order)]
     spread = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
-    spread = spread.withColumn("__part", F.spark_partition_id())
+    # written once: the ranges are sampled, and another run of the plan could draw others
+    spread = written(spread.withColumn("__part", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

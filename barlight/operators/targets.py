@@ -45,12 +45,12 @@ def fold_months(rows: DataFrame, start: str) -> DataFrame:
     return last.select(KEY, F.explode(months).alias("begin"))
 
 
-def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 30) -> DataFrame:
+def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 30, skip_empty: bool = False) -> DataFrame:
     """Counts and training bounds of each monthly purged walk-forward fold.
 
     Training ends a horizon before the month; the last `inner_days` before that end validate,
     and are themselves purged from what fits. Months without rows to predict are skipped; a
-    month with nothing to fit or validate on raises an error, as nothing could be chosen there.
+    month with nothing to fit or validate on raises an error, or is left out with skip_empty.
     """
     begin = F.col("begin").cast("timestamp")
     seconds = F.unix_seconds("ts")
@@ -69,6 +69,8 @@ def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 3
         *[F.count_if(c).alias(n) for n, c in roles.items()],
         F.percentile(F.when(train, F.col("target")), [0.005, 0.995]).alias("q"),
     )
+    if skip_empty:
+        found = found.filter("fit_rows > 0 and validation_rows > 0")
     checked = F.when(
         (F.col("fit_rows") == 0) | (F.col("validation_rows") == 0), F.raise_error(F.lit("empty fold"))
     ).otherwise(F.col("fit_rows"))

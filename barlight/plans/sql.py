@@ -211,7 +211,7 @@ def max_drawdown() -> str:
     return f"""{monitor()},
 pairs AS (SELECT a.series_id, a.rn, b.equity, max(b.equity) OVER (PARTITION BY a.series_id, a.rn ORDER BY b.rn ROWS UNBOUNDED PRECEDING) AS peak
   FROM mon a JOIN mon b ON a.series_id = b.series_id AND b.rn BETWEEN a.rn - 95 AND a.rn),
-worst AS (SELECT series_id, rn, CASE WHEN rn >= 2 THEN min(equity / peak - 1) END AS rolling_max_drawdown_30d FROM pairs GROUP BY ALL),
+worst AS (SELECT series_id, rn, CASE WHEN rn >= 2 THEN min(equity / peak - 1) END AS rolling_max_drawdown_30d FROM pairs GROUP BY series_id, rn),
 mdd AS (SELECT * FROM mon JOIN worst USING (series_id, rn))"""
 
 

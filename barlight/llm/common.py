@@ -3,40 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from barlight.session import ship
+from barlight.session import shared_dir, ship, written
 
+__all__ = ["arrow_map", "mix64", "shared_dir", "shingles", "slices", "WordHasher", "words_of", "written"]
 WORD = re.compile(r"\w+")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary folder of this machine is taken and set as checkpoint folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """df as a Parquet table in the shared folder: later reads survive lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(
     df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, object]]], schema: str
 ) -> DataFrame:

@@ -423,18 +423,18 @@ query(
     sql.sides() + "," + sql.side_months(),
     "side_m",
 )
-_SUMMARY = "gross_bps net_bps gross_hit_rate net_hit_rate long_bps short_bps"
+_SUMMARY = "gross_hit_rate net_hit_rate long_bps short_bps"
 query(
     "side_summary",
     lambda s, d: backtest.side_summary(sided(s, d), DAILY),
-    kinds(_SUMMARY, "trades long_trades short_trades", s=f"{KEY} side", e="sharpe max_drawdown total_return"),
+    kinds(_SUMMARY, "trades long_trades short_trades", s=f"{KEY} side", e="gross_bps net_bps sharpe max_drawdown total_return"),
     sql.sides() + "," + sql.side_sum(),
     "side_s",
 )
 query(
     "side_comparison",
     lambda s, d: backtest.side_comparison(sided(s, d), DAILY),
-    kinds("net_bps positive_months tail cost_bps", "trades", s=f"{KEY} side", e="sharpe total_return"),
+    kinds("positive_months tail cost_bps", "trades", s=f"{KEY} side", e="net_bps sharpe total_return"),
     sql.sides()
     + ","
     + sql.side_sum()

@@ -97,7 +97,7 @@ def cut(text: str, whole: list[int], later: list[int], sentences: int = SENTENCE
 
 
 def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """docs with repeated passages removed from `text`, and column `removed`: bounds of what went.
+    """docs with repeated passages removed from `text`, and column `__removed`: bounds of what went.
 
     A span stays in the document with the least doc_id that has it, at its first place there;
     sentences that any other copy of a span covers go. Rows that share a doc_id count as one
@@ -121,7 +121,7 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     joined = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LAST))).join(
         hits.withColumnRenamed("id", "__id"), "__id", "left"
     )
-    others = [c for c in docs.columns if c not in ("text", "removed")]
+    others = [c for c in docs.columns if c not in ("text", "__removed")]
 
     def made(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
         for batch in batches:
@@ -131,10 +131,10 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
                     new, went = (text, []) if text is None or whole is None else cut(text, whole, later, sentences, words)
                     texts.append(new)
                     removed.append(went)
-                yield {c: part[c] for c in others} | {"text": texts, "removed": removed}
+                yield {c: part[c] for c in others} | {"text": texts, "__removed": removed}
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["text string", "removed array<struct<start:int,end:int>>"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["text string", "__removed array<struct<start:int,end:int>>"])
     return arrow_map(joined.select(*[f"`{c}`" for c in others], "text", "__whole", "__later"), made, schema)
 
 
@@ -142,4 +142,4 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its remaining text and the bounds of what was removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = without_repeats(docs)
-    return found.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"))
+    return found.select("doc_id", "text", F.col("__removed").alias("removed"), F.size("__removed").alias("n_removed"))

@@ -49,10 +49,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of the texts; documents of which nothing is left go."""
     found = without_repeats(docs)
-    found = found.filter(~((F.size("removed") > 0) & (F.trim("text") == "")))
+    found = found.filter(~((F.size("__removed") > 0) & (F.trim("text") == "")))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        found = found.withColumn("n_chars", F.when(F.size("removed") > 0, length).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size("__removed") > 0, length).otherwise(F.col("n_chars")))
     return found.select(*columns(docs))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month, safe_corr, with_ranks
 from barlight.operators.backtest import compounded
+from barlight.session import written
 
 WATCHED = ("prediction", "volatility_48", "volume_ratio_48", "return_12", "price_ma_ratio_48")
 BINS = 10
@@ -44,8 +45,10 @@ def psi(samples: DataFrame, by: list[str], bins: int = BINS) -> DataFrame:
 def monthly_psi(rows: DataFrame, columns: tuple[str, ...] = WATCHED) -> DataFrame:
     """Each month but the first against all earlier ones: a `<column>_psi` each.
 
-    Rows are copied to the later months of their series by a join with its list of months.
+    Rows are copied to the later months of their series by a join with its list of months; they
+    are written once before, as edges, counts and months all start from them.
     """
+    rows = written(rows.select(KEY, "ts", *columns), "drift")
     long = rows.select(KEY, month(F.col("ts")).alias("at"), *columns).unpivot(
         [KEY, "at"], list(columns), "column", "value"
     )
@@ -53,6 +56,9 @@ def monthly_psi(rows: DataFrame, columns: tuple[str, ...] = WATCHED) -> DataFram
     first = months.groupBy(KEY).agg(F.min("month").alias("first"))
     months = months.join(first, KEY).filter("month > first").drop("first")
     samples = long.join(months, KEY).filter("at <= month").withColumn("current", F.col("at") == F.col("month"))
+    # one exchange for the edges, the join with them and the counts: exact quantiles gain nothing
+    # from map-side maps of mostly distinct values
+    samples = samples.repartition(KEY, "month", "column")
     found = psi(samples, [KEY, "month", "column"])
     pivoted = found.groupBy(KEY, "month").pivot("column", list(columns)).agg(F.first("psi"))
     return pivoted.select(KEY, "month", *[F.col(c).alias(f"{c}_psi") for c in columns])
@@ -87,6 +93,8 @@ def psi_level(value: Column) -> Column:
 def drift_report(rows: DataFrame, columns: tuple[str, ...] = WATCHED) -> DataFrame:
     """Summary, stability indices and feature statistics of each month, with mean, greatest and level."""
     key = [KEY, "month"]
+    kept = {KEY, "ts", "position", "gross_return", "net_return", *columns}
+    rows = written(rows.select(*[c for c in rows.columns if c in kept]), "drift")
     report = monthly_summary(rows).join(monthly_psi(rows, columns), key, "left").join(
         monthly_stats(rows, columns[1:]), key, "left"
     )

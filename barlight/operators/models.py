@@ -144,3 +144,9 @@ def walkforward(rows: DataFrame, months: list[str], horizon_seconds: int, trees:
     if out is None:
         raise ValueError("no months to predict")
     return out
+
+
+def fold_report(folds: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The fold table with the number of trees that each month's predictions were made with."""
+    chosen = predictions.select(KEY, F.col("prediction_month").alias("month"), "best_iteration").distinct()
+    return folds.join(chosen, [KEY, "month"])

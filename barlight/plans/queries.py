@@ -59,6 +59,13 @@ def held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.positions(backtest.with_thresholds(predicted(spark, sf_dir), DAILY), DAILY)
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of the position backtest over all lines as one series."""
+    table = features.feature_table(sources.daily_bars(spark, sf_dir, "'all'"), DAILY.bar_seconds, DAILY.horizon)
+    rows = backtest.positions(backtest.with_thresholds(models.momentum(table), DAILY), DAILY)
+    return tidy(backtest.position_monthly(rows), KEY, "month", "active_periods", "turnover", "gross_bps", "monthly_return")
+
+
 def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.signals(backtest.with_thresholds(predicted(spark, sf_dir), DAILY), DAILY)
 
@@ -332,6 +339,19 @@ query("gbt_comparison", lambda s, d: models.model_scores(_compared(s, d)), _SCOR
 query("gbt_targets", _target_variants, _SCORES)
 query("best_model", lambda s, d: models.best_model(_compared(s, d)), kinds("close future_return prediction", s=f"{KEY} model", t="ts"))
 query("walkforward_predictions", _walkforward, kinds("prediction", "best_iteration", s=f"{KEY} prediction_month", t="ts"))
+
+
+def _fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = targets.normalized(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), "volatility_12")
+    found = models.walkforward(rows, ["2001-03", "2001-04"], HORIZON, 3)
+    return models.fold_report(targets.folds(rows, TEST, HORIZON, skip_empty=True), found)
+
+
+query(
+    "fold_report",
+    _fold_report,
+    kinds("lower upper", "fit_rows validation_rows train_rows predict_rows best_iteration", s=f"{KEY} month"),
+)
 query(
     "rank_metrics",
     lambda s, d: metrics.rank_ic(predicted(s, d), [KEY]),

@@ -1,0 +1 @@
+"""Nothing here: every job is a batch over stored tables."""

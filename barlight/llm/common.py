@@ -13,6 +13,7 @@ from barlight.session import shared_dir, ship, written
 
 __all__ = ["arrow_map", "mix64", "shared_dir", "shingles", "slices", "WordHasher", "words_of", "written"]
 WORD = re.compile(r"\w+")
+PART_BYTES = 8 << 20
 
 
 def arrow_map(
@@ -20,7 +21,8 @@ def arrow_map(
 ) -> DataFrame:
     """mapInArrow with plain Python columns: `rows` gets {column: list} and yields the same.
 
-    Arrow keeps 64-bit ids with nulls exact, which pandas columns do not.
+    Arrow keeps 64-bit ids with nulls exact, which pandas columns do not. A batch is turned into
+    Python values a few megabytes at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -29,7 +31,13 @@ def arrow_map(
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in rows({f: b.column(i).to_pylist() for i, f in enumerate(b.schema.names)} for b in batches):
+        parts = (
+            b.slice(i, step)
+            for b in batches
+            for step in [max(1, min(1024, b.num_rows * PART_BYTES // max(b.nbytes, 1)))]
+            for i in range(0, b.num_rows, step)
+        )
+        for out in rows({f: p.column(i).to_pylist() for i, f in enumerate(p.schema.names)} for p in parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)

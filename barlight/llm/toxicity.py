@@ -86,7 +86,7 @@ def plain_word(token: str) -> str:
 class Reader:
     """Dense features of texts; what a token says is remembered for up to `limit` tokens."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 400_000) -> None:
+    def __init__(self, lexicon: Lexicon, limit: int = 200_000) -> None:
         self.words, self.begins = lexicon
         self.limit = limit
         self.known: dict[str, tuple] = {}

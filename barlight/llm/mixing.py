@@ -113,6 +113,8 @@ def mix(
     sums = placed.groupBy(*key).agg(F.sum("tokens").alias("held"))
     earlier = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*key, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    # dealt out by bucket again: else the join would take the documents, too, by leaf
+    sums = sums.repartition(*key)
     inside = Window.partitionBy(*key).orderBy("order", "doc_id", "tag").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     placed = placed.withColumn("within", begin).join(sums, key)

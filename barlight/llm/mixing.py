@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlight.session import written
+
 LEVELS = ("domain", "lang", "source")
 #: Production parameters of the query: weights by level and name; a name without one weighs 1.
 WEIGHTS: dict[str, dict[str, float]] = {
@@ -16,6 +18,8 @@ SHARE = 0.8
 EPOCHS = 3
 SEED = 17
 BUCKET_DOCS = 2000
+#: A table of up to so many leaves is sent to all tasks.
+BROADCAST_LEAVES = 100_000
 NONE = "(none)"
 
 
@@ -97,6 +101,7 @@ def mix(
     rows = docs.select("doc_id", *names, F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
     rows = rows.dropDuplicates()
     leaves = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    leaves = written(leaves, "leaves")
     plan = budgets(leaves, F.col("tokens") * share, levels, weights, epochs)
     whole = F.floor(F.col("budget") + 1e-6).cast("long")
     plan = plan.select(
@@ -105,6 +110,8 @@ def mix(
         F.when(F.col("tokens") > 0, F.floor(whole / F.col("tokens"))).otherwise(0).cast("int").alias("full"),
         F.when(F.col("tokens") > 0, whole % F.col("tokens")).otherwise(0).alias("rest"),
     )
+    if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+        plan = F.broadcast(plan)  # else a join by leaf, whose large partitions AQE splits
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))))
     placed = rows.join(plan, list(levels)).withColumn("order", order)
     part = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / float(1 << 32)

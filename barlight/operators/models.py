@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
@@ -11,6 +15,10 @@ from pyspark.sql import functions as F
 from barlight.functions.stats import KEY, month
 from barlight.operators.features import FEATURES
 from barlight.operators.metrics import rank_ic, scores, trimmed_ic
+from barlight.session import shared_dir, written
+
+#: Trees are many small jobs, so a fit's cached rows are read by tasks of at least so many.
+TASK_ROWS = 20_000
 
 
 def zero(rows: DataFrame) -> DataFrame:
@@ -53,7 +61,8 @@ def ridge(train: DataFrame, rows: DataFrame, columns: list[str] = FEATURES, targ
 
 
 def assembled(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="__x").transform(rows)
+    """rows with the features as one vector, added unless it is there."""
+    return rows if "__x" in rows.columns else VectorAssembler(inputCols=columns, outputCol="__x").transform(rows)
 
 
 def _trees(trees: int, loss: str, seed: int) -> GBTRegressor:
@@ -82,15 +91,37 @@ def best_iteration(model: GBTRegressionModel, valid: DataFrame, loss: str, patie
     return best + 1
 
 
+def searched(train: DataFrame, valid: DataFrame, trees: int, loss: str = "absolute", patience: int = 50) -> tuple[GBTRegressionModel, int]:
+    """Trees fitted on train, and the number of them that patience chooses on valid, of `trees` at most.
+
+    A fit of fewer trees is the beginning of one of more (tree m has seed + m). So twice the patience
+    is tried first, and all where patience does not end the search in these: the result is the same.
+    """
+    limit = min(trees, 2 * patience)
+    model = _trees(limit, loss, 1).fit(train)
+    best = best_iteration(model, valid, loss, patience)
+    if limit < trees and limit - best < patience:
+        model = _trees(trees, loss, 1).fit(train)
+        best = best_iteration(model, valid, loss, patience)
+    return model, best
+
+
+def _cached(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and targets: as cached, and in tasks of at least TASK_ROWS rows."""
+    held = assembled(rows).select("__x", "target").cache()
+    return held, held.coalesce(max(1, math.ceil(held.count() / TASK_ROWS)))
+
+
 def boosted(train: DataFrame, valid: DataFrame, rows: DataFrame, trees: int, loss: str = "absolute", patience: int = 50, refit: DataFrame | None = None) -> tuple[DataFrame, int]:
     """rows with predictions of trees stopped early on valid, refitted on `refit` where given."""
-    train = assembled(train).select("__x", "target").cache()
-    model = _trees(trees, loss, 1).fit(train)
-    train.unpersist()
-    best = best_iteration(model, assembled(valid), loss, patience)
-    if refit is not None or best < trees:
-        again = train if refit is None else assembled(refit).select("__x", "target")
-        model = _trees(best, loss, 1).fit(again)
+    shared_dir(rows.sparkSession, "trees")  # sees to a checkpoint folder, which cuts the lineage of many trees
+    held = [_cached(part) for part in (train, valid) + ((refit,) if refit is not None else ())]
+    parts = [part for _, part in held]
+    model, best = searched(parts[0], parts[1], trees, loss, patience)
+    if refit is not None or best < model.getNumTrees:
+        model = _trees(best, loss, 1).fit(parts[0] if refit is None else parts[2])
+    for cached, _ in held:
+        cached.unpersist()
     return model.transform(assembled(rows)).drop("__x"), best
 
 
@@ -121,28 +152,45 @@ def best_model(predicted: DataFrame) -> DataFrame:
     return predicted.join(F.broadcast(top.limit(1).select("model")), "model", "left_semi")
 
 
-def walkforward(rows: DataFrame, months: list[str], horizon_seconds: int, trees: int, inner_days: int = 30) -> DataFrame:
+def walkforward(
+    rows: DataFrame, months: list[str], horizon_seconds: int, trees: int, inner_days: int = 30, skip_empty: bool = False, parallel: int = 6
+) -> DataFrame:
     """Predictions of each month by trees fitted on the purged past; folds are filters on one table.
 
     rows have `target`. The number of trees is chosen on the last `inner_days` before the purge.
+    Months without rows to predict are skipped; a month with nothing to fit or validate on raises
+    an error, or is left out with skip_empty. The table is written once, and `parallel` folds run
+    at a time, as their jobs are small.
     """
-    out = None
+    rows = written(assembled(rows).select(KEY, "ts", "__x", "target"), "folds")
     seconds = F.unix_seconds("ts")
+    folds = {}
     for at in months:
         begin = F.unix_seconds(F.to_timestamp(F.lit(f"{at}-01")))
         inner, end = begin - inner_days * 86_400, begin - horizon_seconds
-        here = rows.filter(month(F.col("ts")) == at)
-        found, best = boosted(
-            rows.filter(seconds < inner - horizon_seconds),
-            rows.filter((seconds >= inner) & (seconds < end)),
-            here,
-            trees,
-            refit=rows.filter(seconds < end),
-        )
-        found = found.select(KEY, "ts", "prediction", F.lit(at).alias("prediction_month"), F.lit(best).alias("best_iteration"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        folds[at] = (seconds < inner - horizon_seconds, (seconds >= inner) & (seconds < end), seconds < end, month(F.col("ts")) == at)
+    held = [F.count_if(c) for fit, valid, _, here in folds.values() for c in (fit, valid, here)]
+    counts = rows.agg(F.count(F.lit(1)), *held).first()[1:]
+    used = []
+    for i, at in enumerate(folds):
+        fit, valid, here = counts[3 * i : 3 * i + 3]
+        if here and fit and valid:
+            used.append(at)
+        elif here and not skip_empty:
+            raise ValueError(f"empty fold {at}")
+
+    def one(at: str) -> DataFrame:
+        fit, valid, train, here = (rows.filter(c) for c in folds[at])
+        found, best = boosted(fit, valid, here, trees, refit=train)
+        return found.select(KEY, "ts", "prediction", F.lit(at).alias("prediction_month"), F.lit(best).alias("best_iteration"))
+
+    if not used:
         raise ValueError("no months to predict")
+    with ThreadPool(min(parallel, len(used))) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one), used, 1)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

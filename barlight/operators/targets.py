@@ -45,6 +45,11 @@ def fold_months(rows: DataFrame, start: str) -> DataFrame:
     return last.select(KEY, F.explode(months).alias("begin"))
 
 
+def months_from(rows: DataFrame, start: str) -> list[str]:
+    """The months of all series' folds in order: a list bounded by the calendar."""
+    return [r.month for r in fold_months(rows, start).select(month(F.col("begin")).alias("month")).distinct().orderBy("month").collect()]
+
+
 def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 30, skip_empty: bool = False) -> DataFrame:
     """Counts and training bounds of each monthly purged walk-forward fold.
 

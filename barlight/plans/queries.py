@@ -17,6 +17,8 @@ from barlight.sources import bars as sources
 VALIDATION, TEST = "2000-01-01", "2001-01-01"
 CUTOFF = "2001-01-01"
 HORIZON = DAILY.horizon * DAILY.bar_seconds
+#: Most trees of a walk-forward fold; early stopping decides.
+WALK_TREES = 500
 
 
 def tidy(df: DataFrame, *columns: str, time: str = "yyyy-MM-dd", wide: tuple[str, ...] = ()) -> DataFrame:
@@ -328,9 +330,10 @@ def _target_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.model_scores(out)
 
 
-def _walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _walkforward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The target rows, and the predictions of every month from the test's start to the last row."""
     rows = targets.normalized(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), "volatility_12")
-    return models.walkforward(rows, ["2001-03", "2001-04"], HORIZON, 3)
+    return rows, models.walkforward(rows, targets.months_from(rows, TEST), HORIZON, WALK_TREES, skip_empty=True)
 
 
 _SCORES = kinds("mae rmse pearson_ic spearman_ic trimmed_pearson_ic trimmed_spearman_ic", "n_rows", s="model")
@@ -338,12 +341,11 @@ query("ridge_score", _ridge, kinds("mae rmse pearson_ic", "n_rows"))
 query("gbt_comparison", lambda s, d: models.model_scores(_compared(s, d)), _SCORES)
 query("gbt_targets", _target_variants, _SCORES)
 query("best_model", lambda s, d: models.best_model(_compared(s, d)), kinds("close future_return prediction", s=f"{KEY} model", t="ts"))
-query("walkforward_predictions", _walkforward, kinds("prediction", "best_iteration", s=f"{KEY} prediction_month", t="ts"))
+query("walkforward_predictions", lambda s, d: _walkforward(s, d)[1], kinds("prediction", "best_iteration", s=f"{KEY} prediction_month", t="ts"))
 
 
 def _fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = targets.normalized(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), "volatility_12")
-    found = models.walkforward(rows, ["2001-03", "2001-04"], HORIZON, 3)
+    rows, found = _walkforward(spark, sf_dir)
     return models.fold_report(targets.folds(rows, TEST, HORIZON, skip_empty=True), found)
 
 

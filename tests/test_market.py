@@ -223,3 +223,36 @@ def test_clean_and_round_trip(spark, tmp_path):
     for fmt in ("parquet", "csv"):
         sources.write_stage(clean, str(tmp_path / fmt), fmt=fmt)
         assert sources.read_bars(spark, str(tmp_path / fmt), fmt).select("ts", "close").exceptAll(clean.select("ts", "close")).isEmpty()
+
+
+def test_walkforward_takes_every_month_and_real_tree_limits(spark, monkeypatch):
+    from barlight.plans import queries
+
+    taken = {}
+    monkeypatch.setattr(models, "walkforward", lambda rows, months, horizon, trees, **k: taken.update(months=months, trees=trees))
+    queries._walkforward(spark, "/root/testdata/sf0.01")
+    folds = queries.QUERIES["fold_table"](spark, "/root/testdata/sf0.01").toPandas()
+    assert taken["months"] == sorted(set(folds.month)) and len(taken["months"]) > 2 and taken["trees"] == 500
+
+
+def modelled(spark, n=120):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, len(features.FEATURES)))
+    rows = [("a", START + timedelta(days=i), *map(float, r), float(r[0] + (1000.0 if i in (5, n - 50) else 0.0))) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, f"{KEY} string, ts timestamp, " + ", ".join(f"`{c}` double" for c in features.FEATURES) + ", target double")
+
+
+def test_tree_search_is_that_of_all_trees(spark):
+    rows = models.assembled(modelled(spark, 60).filter("target < 100"))
+    for patience in (1, 3):
+        model = models._trees(9, "squared", 1).fit(rows)
+        want = models.best_iteration(model, rows.filter("day(ts) % 2 = 0"), "squared", patience)
+        assert models.searched(rows, rows.filter("day(ts) % 2 = 0"), 9, "squared", patience)[1] == want
+
+
+def test_walkforward_predicts_each_month_once(spark):
+    rows = modelled(spark)
+    with pytest.raises(ValueError, match="empty fold 2024-01"):
+        models.walkforward(rows, targets.months_from(rows, "2024-01-01"), 86_400, 2, 10)
+    got = models.walkforward(rows, targets.months_from(rows, "2024-01-01"), 86_400, 2, 10, skip_empty=True).toPandas()
+    assert got.ts.is_unique and got.prediction_month.value_counts().to_dict() == {"2024-02": 29, "2024-03": 31, "2024-04": 29}

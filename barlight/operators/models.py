@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month
+from barlight.operators import targets
 from barlight.operators.features import FEATURES
 from barlight.operators.metrics import rank_ic, scores, trimmed_ic
 from barlight.session import shared_dir, written
@@ -153,11 +154,20 @@ def best_model(predicted: DataFrame) -> DataFrame:
 
 
 def walkforward(
-    rows: DataFrame, months: list[str], horizon_seconds: int, trees: int, inner_days: int = 30, skip_empty: bool = False, parallel: int = 6
+    rows: DataFrame,
+    months: list[str],
+    horizon_seconds: int,
+    trees: int,
+    inner_days: int = 30,
+    skip_empty: bool = False,
+    parallel: int = 6,
+    clip: tuple[float, float] = (0.005, 0.995),
 ) -> DataFrame:
     """Predictions of each month by trees fitted on the purged past; folds are filters on one table.
 
     rows have `target`. The number of trees is chosen on the last `inner_days` before the purge.
+    Targets are clipped to quantiles of their series: in the search to those of the rows that it fits
+    on, in the refit to those of all purged rows before the month, which `targets.folds` lists too.
     Months without rows to predict are skipped; a month with nothing to fit or validate on raises
     an error, or is left out with skip_empty. The table is written once, and `parallel` folds run
     at a time, as their jobs are small.
@@ -180,8 +190,10 @@ def walkforward(
             raise ValueError(f"empty fold {at}")
 
     def one(at: str) -> DataFrame:
-        fit, valid, train, here = (rows.filter(c) for c in folds[at])
-        found, best = boosted(fit, valid, here, trees, refit=train)
+        fit, valid, train, here = folds[at]
+        inner = targets.clipped(rows, fit, clip, [KEY])
+        refit = targets.clipped(rows, train, clip, [KEY]).filter(train)
+        found, best = boosted(inner.filter(fit), inner.filter(valid), rows.filter(here), trees, refit=refit)
         return found.select(KEY, "ts", "prediction", F.lit(at).alias("prediction_month"), F.lit(best).alias("best_iteration"))
 
     if not used:

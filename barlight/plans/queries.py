@@ -333,7 +333,7 @@ def _target_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _walkforward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The target rows, and the predictions of every month from the test's start to the last row."""
     rows = targets.normalized(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), "volatility_12")
-    return rows, models.walkforward(rows, targets.months_from(rows, TEST), HORIZON, WALK_TREES, skip_empty=True)
+    return rows, models.walkforward(rows, targets.months_from(rows, TEST), HORIZON, WALK_TREES, skip_empty=True, clip=DAILY.clip)
 
 
 _SCORES = kinds("mae rmse pearson_ic spearman_ic trimmed_pearson_ic trimmed_spearman_ic", "n_rows", s="model")

@@ -256,3 +256,23 @@ def test_walkforward_predicts_each_month_once(spark):
         models.walkforward(rows, targets.months_from(rows, "2024-01-01"), 86_400, 2, 10)
     got = models.walkforward(rows, targets.months_from(rows, "2024-01-01"), 86_400, 2, 10, skip_empty=True).toPandas()
     assert got.ts.is_unique and got.prediction_month.value_counts().to_dict() == {"2024-02": 29, "2024-03": 31, "2024-04": 29}
+
+
+def test_walkforward_clips_targets_by_training_rows_of_the_fold(spark, monkeypatch):
+    seen = {}
+
+    def watched(train, valid, rows, trees, refit):
+        for name, part in (("fit", train), ("valid", valid), ("refit", refit)):
+            seen[name] = part.orderBy("ts").toPandas().target
+        return rows.withColumn("prediction", F.lit(0.0)), 1
+
+    monkeypatch.setattr(models, "boosted", watched)
+    rows = modelled(spark)
+    models.walkforward(rows, ["2024-04"], 86_400, 2, 30)
+    raw = rows.orderBy("ts").toPandas().target
+    ends = {"fit": 60, "refit": 90}  # 2024-03-02 and 2024-04-01, each less a day
+    bounds = {name: raw[:end].quantile([0.005, 0.995]).to_numpy() for name, end in ends.items()}
+    np.testing.assert_allclose(seen["fit"], raw[:60].clip(*bounds["fit"]))
+    np.testing.assert_allclose(seen["valid"], raw[61:90].clip(*bounds["fit"]))
+    np.testing.assert_allclose(seen["refit"], raw[:90].clip(*bounds["refit"]))
+    assert bounds["refit"][1] < raw[:90].max()

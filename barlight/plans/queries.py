@@ -17,7 +17,9 @@ from barlight.sources import bars as sources
 VALIDATION, TEST = "2000-01-01", "2001-01-01"
 CUTOFF = "2001-01-01"
 HORIZON = DAILY.horizon * DAILY.bar_seconds
-#: Most trees of a walk-forward fold; early stopping decides.
+#: Most trees of a comparison of losses, of a target variant and of a walk-forward fold; early stopping decides.
+COMPARED_TREES = 1000
+TARGET_TREES = 300
 WALK_TREES = 500
 
 
@@ -318,14 +320,14 @@ def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid = _parts(spark, sf_dir)
-    return models.comparison(train, valid, {"l1": "absolute", "l2": "squared"}, 4)
+    return models.comparison(train, valid, {"l1": "absolute", "l2": "squared"}, COMPARED_TREES)
 
 
 def _target_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, volatility in (("raw", None), ("vol_12", "volatility_12"), ("vol_48", "volatility_48")):
         train, valid = _parts(spark, sf_dir, volatility)
-        found = models.boosted(train, valid, targets.thinned(valid, HORIZON), 3)[0].withColumn("model", F.lit(name))
+        found = models.boosted(train, valid, targets.thinned(valid, HORIZON), TARGET_TREES)[0].withColumn("model", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return models.model_scores(out)
 

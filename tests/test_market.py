@@ -276,3 +276,18 @@ def test_walkforward_clips_targets_by_training_rows_of_the_fold(spark, monkeypat
     np.testing.assert_allclose(seen["valid"], raw[61:90].clip(*bounds["fit"]))
     np.testing.assert_allclose(seen["refit"], raw[:90].clip(*bounds["refit"]))
     assert bounds["refit"][1] < raw[:90].max()
+
+
+def test_tree_queries_have_limits_above_the_patience(spark, monkeypatch):
+    from barlight.plans import queries
+
+    taken = []
+
+    def watched(train, valid, rows, trees, loss="absolute", patience=50, refit=None):
+        taken.append((trees, patience))
+        return rows.withColumn("prediction", F.lit(0.0)), 1
+
+    monkeypatch.setattr(models, "boosted", watched)
+    queries._compared(spark, "/root/testdata/sf0.01")
+    queries._target_variants(spark, "/root/testdata/sf0.01")
+    assert taken == [(1000, 50)] * 2 + [(300, 50)] * 3

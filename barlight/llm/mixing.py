@@ -148,8 +148,11 @@ def mixed_documents(docs: DataFrame, selected: DataFrame) -> DataFrame:
     joined = docs.withColumn("__t", F.xxhash64("text")).join(
         few, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__t").eqNullSafe(F.col("__tag"))
     )
+    # a leading run of white space is a piece of its own, but no token
     pieces = F.split("text", r"(?<=\s)(?=\S)")
-    head = F.array_join(F.slice(pieces, 1, F.greatest(F.col("__taken"), F.lit(0)).cast("int")), "")
+    blank = F.regexp_like("text", F.lit(r"^\s+\S")).cast("int")
+    taken = F.greatest(F.col("__taken"), F.lit(0)).cast("int")
+    head = F.when(taken == 0, "").otherwise(F.array_join(F.slice(pieces, F.lit(1), taken + blank), ""))
     text = F.when(F.col("__taken") < F.col("__tokens"), head).otherwise(F.col("text"))
     return joined.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
 

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barlight.llm import fingerprints, jaccard, langid, media, mixing, packing, quality, registry, substrings, toxicity, wavelet
@@ -441,3 +442,13 @@ def test_pipeline_dedup_stages_by_brute_force(spark):
 def test_registry_has_a_query_per_operator():
     numbers = sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES if re.match(r"op\d+_", q))
     assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_op8_cut_text_holds_the_tokens_taken(spark):
+    texts = {1: " foo bar baz", 2: "foo bar baz", 3: "\n\t foo\n bar baz", 4: "  foo bar", 5: " foo bar"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), mixing.tokens(F.col("text")).alias("tokens"))
+    taken = F.when(F.col("doc_id") == 4, 1).when(F.col("doc_id") == 5, 0).otherwise(2).cast("long")
+    got = {r.doc_id: r.text for r in mixing.mixed_documents(docs, rows.withColumn("taken", taken)).collect()}
+    assert {d: t.split() for d, t in got.items()} == {1: ["foo", "bar"], 2: ["foo", "bar"], 3: ["foo", "bar"], 4: ["foo"], 5: []}
+    assert all(texts[d].startswith(t) for d, t in got.items())

@@ -20,6 +20,8 @@ from barlight.llm.tokens import default_tokenizer, encoder
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 1 << 16
+#: About so many pieces go out at a time.
+OUT_PIECES = 512
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, tier int, step_group long"
@@ -132,11 +134,13 @@ def pack_documents(
     Null and empty texts are just the end id. Null or repeated doc_ids are packed like others,
     each row on its own; other columns of docs are not read. An empty table gives no rows.
     A text of any length is cut into whole windows. `block_tokens` bounds what a task holds:
-    a block is packed and returned before the next is read, its leftover moving on with it.
+    a block is packed and returned before the next is read, its leftover moving on with it. Step
+    groups are balanced within a block and hold windows of all tiers.
     sequence_id and step_group carry the partition number in their upper bits.
     """
     path = tokenizer or default_tokenizer()
     width = 4
+    names = [c.split()[0] for c in PIECES.split(", ")]
 
     def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
         encode = encoder(path, end_id)
@@ -144,12 +148,15 @@ def pack_documents(
         made = steps = 0
         held: list[tuple[int | None, int, int, bytes]] = []  # doc_id, tokens before, all tokens, ids
 
-        def flush(last: bool) -> dict[str, list]:
+        def flush(last: bool) -> Iterator[dict[str, list]]:
             nonlocal made, steps, held
             windows, rest = pack([len(x[3]) // width for x in held], tiers, last)
             group = balanced([w[0] for w in windows], step_tokens)
-            out: dict[str, list] = {c.split()[0]: [] for c in PIECES.split(", ")}
+            out: dict[str, list] = {c: [] for c in names}
             for (tier, window), g in zip(windows, group, strict=True):
+                if len(out["tier"]) >= OUT_PIECES:
+                    yield out
+                    out = {c: [] for c in names}
                 offset = 0
                 for d, start, length in window:
                     doc_id, before, total, ids = held[d]
@@ -161,19 +168,20 @@ def pack_documents(
                 made += 1
             steps += max(group, default=-1) + 1
             held = [(held[d][0], held[d][1] + s, held[d][2], held[d][3][s * width : (s + n) * width]) for d, s, n in rest]
-            return out
+            yield out
 
         size = 0
         for batch in batches:
-            for part in slices(batch, 128):
+            for part in slices(batch, 32):
                 for doc_id, ids in zip(part["doc_id"], encode(part["text"]), strict=True):
                     held.append((doc_id, 0, len(ids) // width, ids))
                     size += len(ids) // width
                 if size >= block_tokens:
-                    yield flush(False)
+                    yield from flush(False)
                     size = sum(len(x[3]) // width for x in held)
         if held:
-            yield flush(True)
+            yield from flush(True)
+        encode.forget()
 
     return arrow_map(docs.select("doc_id", "text"), rows, PIECES)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 
 import numpy as np
 
+from barlight.llm.common import Remembered
+
 
 def default_tokenizer() -> str:
     """The file used by the queries; every operator takes another path as a parameter."""
@@ -28,28 +29,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Remembered(dict):
-    """A dict that computes and keeps what it lacks."""
-
-    def __init__(self, compute: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = value = self.compute(key)
-        return value
-
-
 class Encoder:
     """Texts to little-endian 32-bit ids, with an end id after each text.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those
     of its parts between blanks and line ends, which are remembered. A new part of Latin-1
     letters and signs is lowered and split by the file's own pattern and its pieces go straight
-    to the file's BPE model; any other part goes through the whole tokenizer.
+    to the file's BPE model; any other part goes through the whole tokenizer. What is remembered
+    takes some `most_bytes`, and `forget` drops it.
     """
 
-    def __init__(self, path: str, end_id: int = 1, limit: int = 800_000) -> None:
+    def __init__(self, path: str, end_id: int = 1, most_bytes: int = 96 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,9 +48,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.end = np.array([end_id], "<u4").tobytes()
-        self.parts = Remembered(self._part)
-        self.pieces = Remembered(self._piece)
-        self.limit = limit
+        self.parts = Remembered(self._part, most_bytes // 2, 240)
+        self.pieces = Remembered(self._piece, most_bytes // 2, 240)
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def plain(self, text: str) -> bytes:
@@ -77,18 +66,24 @@ class Encoder:
         return self.plain(part)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        for known in (self.parts, self.pieces):
-            if len(known) > self.limit:
-                known.clear()
         get = self.parts.__getitem__
-        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + self.end for t in texts]
+        out = []
+        for t in texts:
+            self.parts.trimmed()
+            self.pieces.trimmed()
+            out.append(b"".join(map(get, (t or "").replace("\n", " ").split(" "))) + self.end)
+        return out
+
+    def forget(self) -> None:
+        self.parts.clear()
+        self.pieces.clear()
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(path: str, end_id: int = 1) -> Encoder:
-    """The process's encoder for this file; Python workers keep it from task to task."""
+    """The process's encoder for this file; Python workers keep it, without what it remembers, from task to task."""
     if (path, end_id) not in _encoders:
         _encoders[path, end_id] = Encoder(path, end_id)
     return _encoders[path, end_id]

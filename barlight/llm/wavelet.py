@@ -190,7 +190,9 @@ def write_shards(
     Rows of a Parquet table carry the shard files, so that any store that Spark writes to will do
     and a task that runs twice is committed once. A document is never split: a shard ends with
     the document that reaches `shard_tokens`. Null texts are empty; repeated doc_ids keep a row
-    each, ordered by text; other columns are not read; an empty table gives an empty folder table.
+    each, in the order of a hash of the text; rows that repeat both are told apart by a seeded
+    number, so that any much-repeated id, null too, is dealt to several ranges. Other columns are
+    not read; an empty table gives an empty folder table.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -223,11 +225,12 @@ def write_shards(
         if parts:
             yield flush()
 
-    docs = docs.select("doc_id", "text")
+        encode.forget()
+
     n = partitions or max(1, docs.rdd.getNumPartitions())
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
-    )
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.rand(29).alias("salt"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("salt")]
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     shards = arrow_map(ordered, rows, "part int, shard int, begin long, n_tokens long, blob binary")
     # blobs are compressed already; small row groups keep a reader's memory low
     shards.write.option("compression", "none").option("parquet.block.size", 8 << 20).option(
@@ -254,7 +257,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 }
 
     shards = spark.read.parquet(path)
-    # one row per partition of the writer: thousands at most, whatever the input
+    # one row per partition of the writer: thousands at most, whatever the input, so it is sent to all tasks
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = totals.select(
         "part",

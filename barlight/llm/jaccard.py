@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import WordHasher, arrow_map, mix64, shingles, slices, words_of, written
+from barlight.llm.common import WordHasher, arrow_map, mix64, removed, shingles, slices, words_of, written, written_at
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -260,20 +260,22 @@ def components(edges: DataFrame) -> DataFrame:
     """key, label for edges(key, root): the least key of each connected component.
 
     Labels fall along edges and are then replaced by their own labels, until none changes. Each
-    round is written to the shared folder.
+    round is written to the shared folder, and the one before it removed.
     """
+    spark = edges.sparkSession
     pairs = edges.filter("key <> root").select("key", "root").distinct()
     both = written(pairs.unionByName(pairs.select(F.col("root").alias("key"), F.col("key").alias("root"))), "edges")
-    labels = written(
-        both.groupBy("key").agg(F.min("root").alias("low")).select("key", F.least("key", "low").alias("label")), "labels"
-    )
+    start = both.groupBy("key").agg(F.min("root").alias("low")).select("key", F.least("key", "low").alias("label"))
+    labels, path = written_at(start, "labels")
     while True:
         near = both.join(labels.withColumnRenamed("key", "root"), "root").groupBy("key").agg(F.min("label").alias("low"))
         lower = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
         fallen = lower.join(jump, "label", "left")
-        new = written(fallen.select("key", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = new.select("key", "label")
+        found = fallen.select("key", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
+        new, new_path = written_at(found, "labels")
+        removed(spark, path)
+        labels, path = new.select("key", "label"), new_path
         if new.filter("label <> old").isEmpty():
             return labels
 
@@ -281,18 +283,20 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_classes(
     docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL
 ) -> DataFrame:
-    """A row per document of docs(doc_id, text): class_id, links and copies.
+    """A row per document of docs(doc_id, text): class_id, links, copies, tag and class_key.
 
     Documents are linked when the Jaccard likeness of their sets of `words`-word runs is at least
     `similarity`; links counts the documents linked to this one, copies included, class_id is
-    the least doc_id of the connected class, copies how many documents have this n-gram set. Copies
+    the least doc_id of the connected class, copies how many documents have this n-gram set, tag a
+    hash of the text, class_key the class's own name, which tells classes of null ids apart. Copies
     are joined once, as one set. Texts of fewer words are one run; texts without words (null and
     empty ones too) are alike only if equal. Rows with null or repeated ids count as documents
     of their own; a class of null ids has a null class_id. An empty table gives no rows.
 
     Only documents in a shared band bucket are compared, in pairs of bounded blocks of a bucket, and
     only counts and a spanning forest leave a task: no list of pairs is made, whatever the size
-    of a group. Buckets with the same members are compared once.
+    of a group. Buckets with the same members are compared once. A bucket of m different sets costs
+    m^2 / 2 comparisons, as links are exact; each set goes to m / BLOCK_MEMBERS tasks.
     """
     bands, rows = banding(similarity, recall)
     known = written(signatures(docs, bands, rows, words), "signatures")
@@ -360,8 +364,10 @@ def jaccard_classes(
         F.coalesce("class_rep", "rep").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         "copies",
+        F.col("label").alias("class_key"),
     )
-    return known.select("doc_id", "tag", "key").join(classes, "key").select("doc_id", "class_id", "links", "copies", "tag")
+    each = known.select("doc_id", "tag", "key").join(classes, "key")
+    return each.select("doc_id", "class_id", "links", "copies", "tag", "class_key")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

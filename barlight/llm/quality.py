@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import arrow_map, slices
+from barlight.llm.common import Remembered, columns_added
 from barlight.llm.langid import held_out
 
 BITS = 18
-#: Bound of the sample that weights are fitted on, whatever the number of rated rows.
+#: Bounds of the sample that weights are fitted on, whatever the number of rated rows.
 SAMPLE_ROWS = 8_000
+SAMPLE_CHARS = 40_000_000
 ROUNDS = 150
 RATE = 0.05
 RIDGE = 1e-5
@@ -58,15 +59,20 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def hashed(tokens: list[str]) -> tuple[np.ndarray, float]:
-    """Slots of a text's distinct tokens (with repeats of slots) and their common value."""
+def hashed(text: str | None, slots_of: Callable[[str], tuple[int, ...]] = token_slots) -> tuple[np.ndarray, np.ndarray, float]:
+    """Distinct slots of a text's distinct tokens, how many features fall into each, and their common value.
+
+    At most 2^BITS slots, however long the text.
+    """
+    tokens = (text or "").split()
     distinct = set(tokens)
-    slots = [s for t in distinct for s in token_slots(t)]
-    return np.array([*slots, *text_slots(tokens)], np.int64), 1 / np.sqrt(max(len(distinct), 1) + 1)
+    found = [s for t in distinct for s in slots_of(t)]
+    slots, times = np.unique(np.array([*found, *text_slots(tokens)], np.int64), return_counts=True)
+    return slots, times, 1 / float(np.sqrt(max(len(distinct), 1) + 1))
 
 
-def fit(texts: list[str], grades: list[float], rounds: int = ROUNDS) -> Model:
-    """Maximum likelihood with a small ridge by Adam steps on all rows; thresholds stay ordered.
+def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], grades: list[float], rounds: int = ROUNDS) -> Model:
+    """Maximum likelihood with a small ridge by Adam steps on all hashed rows; thresholds stay ordered.
 
     With P(y <= k) = s(t_k - x.w), the derivative of -log P(y = k) by the score is
     1 - s(t_k - x.w) - s(t_(k-1) - x.w) with its sign turned. Thresholds are a first one and
@@ -74,12 +80,10 @@ def fit(texts: list[str], grades: list[float], rounds: int = ROUNDS) -> Model:
     """
     kinds = sorted(set(grades))
     y = np.searchsorted(kinds, grades)
-    parts = [hashed(t.split()) for t in texts]
-    slots = np.concatenate([p[0] for p in parts])
-    used, column = np.unique(slots, return_inverse=True)
-    sizes = np.array([len(p[0]) for p in parts])
+    used, column = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    sizes = np.array([len(r[0]) for r in rows])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    value = np.repeat(np.array([p[1] for p in parts]), sizes)
+    value = np.concatenate([r[1] * r[2] for r in rows])
     k = len(kinds) - 1
     share = np.cumsum(np.bincount(y, minlength=k + 1))[:k] / len(y)
     start = np.log(share / (1 - share))
@@ -111,59 +115,75 @@ def fit(texts: list[str], grades: list[float], rounds: int = ROUNDS) -> Model:
     return Model(weights, thresholds, [float(g) for g in kinds])
 
 
-def learn(docs: DataFrame, ratings: DataFrame) -> Model:
-    """Fit on ratings(doc_id, grade) of docs(doc_id, text): a sample of about SAMPLE_ROWS rows.
+def learn(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on ratings(doc_id, grade) of docs(doc_id, text): a sample of about sample_rows rows or sample_chars characters.
 
-    Rows are chosen by a hash of doc_id; nulls are left out, of repeated ratings the least counts.
-    The sample's bound makes it small enough to broadcast its ids and to fit in one process.
+    Rows are chosen by a hash of doc_id; nulls are left out, of repeated ratings the least counts;
+    repeated documents count each time. Texts are hashed where they lie, and the driver gets
+    slots only: at most 2^BITS a text. The sample's bound makes its ids small enough to broadcast.
+    Without two grades the model has no thresholds and answers the one grade, or 0.
     """
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    rate = min(1.0, SAMPLE_ROWS / max(rated.count(), 1))
+    rate = min(1.0, sample_rows / max(rated.count(), 1))
     chosen = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(rate * 1_000_000))
     rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = sorted((r["doc_id"], r["text"], float(r["grade"])) for r in rows.select("doc_id", "text", "grade").toLocalIterator())
-    kinds = sorted({f[2] for f in found})
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > sample_chars:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < round(sample_chars / chars * 1_000_000))
+
+    def made() -> Callable[[list], dict[str, list]]:
+        known = Remembered(token_slots, 32 << 20)
+
+        def found(texts: list[str]) -> dict[str, list]:
+            known.trimmed()
+            each = [hashed(t, known.__getitem__) for t in texts]
+            return {
+                "slots": [s.astype("<i4").tobytes() for s, _, _ in each],
+                "times": [np.minimum(n, 65_535).astype("<u2").tobytes() for _, n, _ in each],
+                "value": [v for _, _, v in each],
+            }
+
+        return found
+
+    sample = columns_added(rows, ["doc_id", "grade"], made, "slots binary, times binary, value double")
+    found = sorted(
+        (r["doc_id"], float(r["grade"]), bytes(r["slots"]), bytes(r["times"]), r["value"]) for r in sample.toLocalIterator()
+    )
+    kinds = sorted({f[1] for f in found})
     if len(kinds) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(0), kinds or [0.0])
-    return fit([f[1] for f in found], [f[2] for f in found])
+    parts = [(np.frombuffer(s, "<i4"), np.frombuffer(n, "<u2"), v) for _, _, s, n, v in found]
+    return fit(parts, [f[1] for f in found])
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, expected_grade, tails (P(grade >= k) for each grade k but the lowest), whole texts.
+    """doc_id, expected_grade, tails (P(grade >= k) for each grade k but the lowest), whole texts of any length.
 
     Null and empty texts are scored by their length alone; a row for each row of docs, null
-    and repeated ids too; other columns aren't read. With one grade known there are no tails.
+    and repeated ids too; an empty table gives none; other columns aren't read. With one grade
+    known there are no tails.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
+    def made() -> Callable[[list], dict[str, list]]:
         model = shared.value
-        known: dict[str, float] = {}
         steps = np.diff(np.array(model.grades))
+        known = Remembered(lambda t: float(model.weights[list(token_slots(t))].sum()), 64 << 20)
+
+        def scored(text: str | None) -> float:
+            known.trimmed()
+            tokens = (text or "").split()
+            distinct = set(tokens)
+            total = sum(map(known.__getitem__, distinct)) + float(model.weights[list(text_slots(tokens))].sum())
+            return total / float(np.sqrt(max(len(distinct), 1) + 1))
+
+        def found(texts: list[str | None]) -> dict[str, list]:
+            tails = model.tails(np.array([scored(t) for t in texts]))
+            return {"expected_grade": (model.grades[0] + tails @ steps).tolist(), "tails": tails.tolist()}
+
+        return found
 
-        def of(token: str) -> float:
-            return float(model.weights[list(token_slots(token))].sum())
-
-        for batch in batches:
-            for part in slices(batch, 512):
-                if len(known) > 500_000:
-                    known.clear()
-                scores = []
-                for text in part["text"]:
-                    tokens = (text or "").split()
-                    distinct = set(tokens)
-                    for t in distinct.difference(known):
-                        known[t] = of(t)
-                    total = sum(map(known.__getitem__, distinct)) + float(model.weights[list(text_slots(tokens))].sum())
-                    scores.append(total / np.sqrt(max(len(distinct), 1) + 1))
-                tails = model.tails(np.array(scores))
-                yield {
-                    "doc_id": part["doc_id"],
-                    "expected_grade": (model.grades[0] + tails @ steps).tolist(),
-                    "tails": tails.tolist(),
-                }
-
-    return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, expected_grade double, tails array<double>")
+    return columns_added(docs, ["doc_id"], made, "expected_grade double, tails array<double>")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

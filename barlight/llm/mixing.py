@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlight.session import written
+from barlight.llm.common import free_name, one_row_each, written
 
 LEVELS = ("domain", "lang", "source")
 #: Production parameters of the query: weights by level and name; a name without one weighs 1.
@@ -14,6 +14,9 @@ WEIGHTS: dict[str, dict[str, float]] = {
     "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0},
     "source": {"src0": 2.0},
 }
+#: The domain of each source; others are OTHER.
+DOMAINS: dict[str, str] = {f"src{i}": "core" for i in range(10)}
+OTHER = "extra"
 SHARE = 0.8
 EPOCHS = 3
 SEED = 17
@@ -28,8 +31,13 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def domain_of(source: Column) -> Column:
-    return F.when(F.length(source) <= 4, F.lit("core")).otherwise(F.lit("extra"))
+def domain_of(source: Column, domains: dict[str, str] | None = None, other: str = OTHER) -> Column:
+    """The domain that a source belongs to, by a mapping; null sources and unknown ones are `other`."""
+    found = F.lit(None).cast("string")
+    names = DOMAINS if domains is None else domains
+    for domain in sorted(set(names.values())):
+        found = F.when(source.isin([s for s, d in names.items() if d == domain]), domain).otherwise(found)
+    return F.coalesce(found, F.lit(other))
 
 
 def weight_of(level: str, weights: dict[str, dict[str, float]]) -> Column:
@@ -140,20 +148,30 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, selected: DataFrame) -> DataFrame:
-    """The columns of docs for each selected pass, the text cut to the tokens taken."""
-    few = selected.select(
-        F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("taken").alias("__taken"), F.col("tokens").alias("__tokens")
-    )
-    joined = docs.withColumn("__t", F.xxhash64("text")).join(
-        few, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__t").eqNullSafe(F.col("__tag"))
-    )
+def mixed_documents(docs: DataFrame, selected: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """The columns of docs for each selected pass of mix(docs, levels), the text cut to the tokens taken.
+
+    Rows that repeat doc_id, text and group were budgeted once, so one of them is given back for
+    each pass: the one with the least hash of its columns. Leading blanks stay with the first
+    token of a cut text. Column names of docs may be any; its levels must be columns.
+    """
+    names = [free_name(docs.columns, n) for n in ("id", "null", "tag", *[f"level{i}" for i in range(len(levels))])]
+
+    def key(tag: Column) -> list[Column]:
+        groups = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NONE)) for c in levels]
+        values = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), tag, *groups]
+        return [v.alias(n) for v, n in zip(values, names, strict=True)]
+
+    one = one_row_each(docs.select("*", *key(F.xxhash64("text"))), names)
+    taken, of = free_name(docs.columns, "taken"), free_name(docs.columns, "of")
+    few = selected.select(*key(F.col("tag")), F.col("taken").alias(taken), F.col("tokens").alias(of))
+    joined = one.join(few, names)
     # a leading run of white space is a piece of its own, but no token
     pieces = F.split("text", r"(?<=\s)(?=\S)")
     blank = F.regexp_like("text", F.lit(r"^\s+\S")).cast("int")
-    taken = F.greatest(F.col("__taken"), F.lit(0)).cast("int")
-    head = F.when(taken == 0, "").otherwise(F.array_join(F.slice(pieces, F.lit(1), taken + blank), ""))
-    text = F.when(F.col("__taken") < F.col("__tokens"), head).otherwise(F.col("text"))
+    most = F.greatest(F.col(taken), F.lit(0)).cast("int")
+    head = F.when(most == 0, "").otherwise(F.array_join(F.slice(pieces, F.lit(1), most + blank), ""))
+    text = F.when(F.col(taken) < F.col(of), head).otherwise(F.col("text"))
     return joined.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
 
 
@@ -183,9 +201,11 @@ def oracle_sql() -> str:
         cases = " ".join(f"WHEN '{n}' THEN {w}::DOUBLE" for n, w in WEIGHTS[level].items())
         return f"CASE {level} {cases} ELSE 1.0::DOUBLE END"
 
+    names = {d: ", ".join(f"'{s}'" for s, x in DOMAINS.items() if x == d) for d in sorted(set(DOMAINS.values()))}
+    domain = "CASE " + " ".join(f"WHEN source IN ({n}) THEN '{d}'" for d, n in names.items()) + f" ELSE '{OTHER}' END"
     return f"""
 WITH rows_ AS (
-  SELECT DISTINCT doc_id, CASE WHEN length(source) <= 4 THEN 'core' ELSE 'extra' END AS domain,
+  SELECT DISTINCT doc_id, {domain} AS domain,
     coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source, text,
     coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS tokens
   FROM documents),

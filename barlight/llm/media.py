@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import arrow_map, shared_dir
+from barlight.llm.common import arrow_map, shared_dir, written
 
 WIDTH = 192
 #: The elements of HTML that end a run of text, hold none, or refer to media.
@@ -140,7 +140,11 @@ def feature(data: bytes) -> str:
 
 
 def resolved(spark: SparkSession, path: str) -> DataFrame:
-    """One row per digest of a media store, computed from the bytes read back."""
+    """One row per digest of a media store, computed from the bytes read back.
+
+    Rows that repeat a digest are told once; an empty store gives no rows; a payload that is no
+    whole image is an error. The table is written, so that a join with it is of plain exchanges.
+    """
 
     def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
         for batch in batches:
@@ -159,14 +163,16 @@ def resolved(spark: SparkSession, path: str) -> DataFrame:
         "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
         "media_bytes long, media_sha256 string, feature string"
     )
-    return arrow_map(spark.read.parquet(path), rows, schema).dropDuplicates(["digest"])
+    return written(arrow_map(spark.read.parquet(path), rows, schema).dropDuplicates(["digest"]), "resolved")
 
 
 def interleaved(sequences: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
     """A row per media reference (`sha256:` digests) with its position, caption and resolved media.
 
-    References that nothing resolves stay, with null media columns. The digest of one very
-    common item is a skewed join key of small rows, which AQE splits.
+    References that nothing resolves stay, with null media columns; pages without references,
+    null ones too, have no rows; repeated pages and references, and null keys, have rows each;
+    empty tables give none. The digest of one very common item is a skewed join key of small
+    rows, which AQE splits.
     """
     items = F.size("sequence").alias("n_items")
     refs = sequences.select(F.col(key), items, F.explode(F.filter("sequence", lambda e: e["kind"] == "media")).alias("e"))
@@ -204,7 +210,11 @@ def pages_of(docs: DataFrame) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as an image and resolved from its page; a row per document."""
+    """Every text stored as an image and resolved from its page; a row per document.
+
+    Null texts are empty ones; repeated rows and null ids have a row each; equal texts have equal
+    values; an empty table gives no rows; other columns aren't read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = shared_dir(spark, "media")
     payload = payload_of(F.col("text"))

@@ -7,23 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm.common import shared_dir
+from barlight.llm.common import free_name, one_row_each, removed, shared_dir
 from barlight.llm.jaccard import jaccard_classes
-from barlight.llm.mixing import domain_of, mix, mixed_documents
+from barlight.llm.mixing import LEVELS, WEIGHTS, domain_of, mix, mixed_documents
 from barlight.llm.packing import digest, pack_documents
 from barlight.llm.substrings import without_repeats
 from barlight.llm.toxicity import learn
 
-#: Mixing keeps this share of the tokens, no source being read more than this many times.
+#: Mixing keeps this share of the tokens and reads no source twice, as copies were just removed.
 MIX_SHARE = 0.9
-MIX_EPOCHS = 2
-
-
-def same_row(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs joined with found(__id, __tag, ..) on doc_id and a hash of the text, nulls included."""
-    return docs.withColumn("__hash", F.xxhash64("text")).join(
-        found, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__tag"))
-    )
+MIX_EPOCHS = 1
 
 
 def columns(docs: DataFrame) -> list[Column]:
@@ -33,35 +26,50 @@ def columns(docs: DataFrame) -> list[Column]:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that are scored toxic (0.5 or more); all labels may be learned from."""
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, docs.columns).filter("__score < 0.5").select(*columns(docs))
+    score = free_name(docs.columns, "score")
+    return model.score(docs, docs.columns, score).filter(F.col(score) < 0.5).select(*columns(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each class of near copies.
+    """Keep exactly one row of each class of near copies: that of the least (doc_id, hash of text, hash of row).
 
-    Rows that repeat the kept one, id and text, stay with it. Null ids count as one least id.
+    A null id counts as least. Rows that repeat id and text are copies like others. Texts
+    without words are copies only if equal.
     """
-    kept = jaccard_classes(docs).filter("doc_id <=> class_id").select("doc_id", "tag").distinct()
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
-    return same_row(docs, kept).select(*columns(docs))
+    names = [free_name(docs.columns, n) for n in ("id", "null", "tag")]
+
+    def key(doc_id: Column, tag: Column) -> list[Column]:
+        values = (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), tag)
+        return [v.alias(n) for v, n in zip(values, names, strict=True)]
+
+    least = jaccard_classes(docs).groupBy("class_key").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
+    kept = least.select(*key(F.col("least.doc_id"), F.col("least.tag")))
+    # one row for each id and text, then a join in the same partitioning
+    one = one_row_each(docs.select("*", *key(F.col("doc_id"), F.xxhash64("text"))), names)
+    return one.join(kept, names, "left_semi").select(*columns(docs))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out of the texts; documents of which nothing is left go."""
-    found = without_repeats(docs)
-    found = found.filter(~((F.size("__removed") > 0) & (F.trim("text") == "")))
+    gone = free_name(docs.columns, "gone")
+    found = without_repeats(docs, name=gone)
+    cut = F.size(gone) > 0
+    found = found.filter(~(cut & (F.trim("text") == "")))
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        found = found.withColumn("n_chars", F.when(F.size("__removed") > 0, length).otherwise(F.col("n_chars")))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(cut, length).otherwise(F.col("n_chars")))
     return found.select(*columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Select documents by domain, language and source; n_chars follows a cut text."""
-    grouped = docs.select("doc_id", "text", "lang", "source", domain_of(F.col("source")).alias("domain"))
-    out = mixed_documents(docs, mix(grouped, share=MIX_SHARE, epochs=MIX_EPOCHS))
+    domain = free_name(docs.columns, "domain")
+    levels = (domain, *LEVELS[1:])
+    grouped = docs.withColumn(domain, domain_of(F.col("source")))
+    chosen = mix(grouped, levels, WEIGHTS | {domain: WEIGHTS["domain"]}, MIX_SHARE, MIX_EPOCHS)
+    out = mixed_documents(grouped, chosen, levels)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns(docs))
 
 
@@ -83,12 +91,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read by the next."""
+    """All stages over the documents of sf_dir, each written as Parquet and read by the next.
+
+    A stage's table is removed once the next stage is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = shared_dir(spark, name)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                removed(spark, before)
+            before = path
     return docs

@@ -41,7 +41,7 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 
 def with_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """df with `<column>_rank` for each column."""
+    """df with `<column>_rank` for each column; for groups that fit a task, as a month's rows do."""
     for c in columns:
         df = df.withColumn(f"{c}_rank", average_rank(c, by))
     return df

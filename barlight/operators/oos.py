@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.config import Config
-from barlight.functions.stats import KEY, month, safe_corr, with_ranks
+from barlight.functions.stats import KEY, month
 from barlight.operators.backtest import compounded, positions, sharpe, with_equity, with_thresholds
 from barlight.operators.features import LABEL
+from barlight.operators.metrics import rank_ic
 
 
 def with_history(history: DataFrame, test: DataFrame, config: Config) -> DataFrame:
@@ -54,16 +55,7 @@ def summary(rows: DataFrame, config: Config) -> DataFrame:
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
-    return table.join(_ic(rows, [KEY]), KEY, "left")
-
-
-def _ic(rows: DataFrame, by: list[str]) -> DataFrame:
-    both = rows.filter(F.col(LABEL).isNotNull() & F.col("prediction").isNotNull())
-    enough = F.count(F.lit(1)) >= 2
-    return with_ranks(both, [LABEL, "prediction"], by).groupBy(*by).agg(
-        F.when(enough, safe_corr(F.col(LABEL), F.col("prediction"))).alias("pearson_ic"),
-        F.when(enough, safe_corr(F.col(f"{LABEL}_rank"), F.col("prediction_rank"))).alias("spearman_ic"),
-    )
+    return table.join(rank_ic(rows, [KEY]).drop("n_rows"), KEY, "left")
 
 
 def monthly(rows: DataFrame) -> DataFrame:
@@ -81,4 +73,4 @@ def monthly(rows: DataFrame) -> DataFrame:
         compounded(F.col("net_return")).alias("monthly_return"),
         (F.max("ts") < F.add_months(F.trunc(F.max("ts"), "MM"), 1).cast("timestamp")).alias("is_partial"),
     )
-    return table.join(_ic(rows, [KEY, "month"]), [KEY, "month"], "left")
+    return table.join(rank_ic(rows, [KEY, "month"], small=True).drop("n_rows"), [KEY, "month"], "left")

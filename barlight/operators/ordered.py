@@ -1,60 +1,106 @@
-"""Order over series too long for one task: global row numbers and two-pass prefixes."""
+"""Order over groups too long for one task: row numbers, running aggregates, quantiles and ranks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY
 from barlight.session import written
 
+CHUNK = 100_000
+
 
-def ordered_index(df: DataFrame, order: list[str], partitions: int | None = None, key: str = KEY) -> DataFrame:
-    """df with `rn`, the row number from 1 within `key`, without a task per key.
+def ordered_index(
+    df: DataFrame, order: list[str | Column], partitions: int | None = None, by: list[str] | None = None, weight: str | None = None
+) -> DataFrame:
+    """df with `rn`, the row number from 1 within `by`, without a task per group.
 
-    Rows are range-partitioned by key and order; each range counts its rows, and the counts before
-    it (one row a range and key) are added to numbers inside the range.
+    Rows are range-partitioned by group and order; each range counts its rows, and the counts before
+    it (one row a range and group) are added to numbers inside the range. With `weight`, a
+    column of whole numbers, rn is its running sum.
     """
-    columns = [F.col(c) for c in (key, *order)]
+    by = [KEY] if by is None else by
+    columns = [*map(F.col, by), *(F.col(c) if isinstance(c, str) else c for c in order)]
     spread = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
     # written once: the ranges are sampled, and another run of the plan could draw others
     spread = written(spread.withColumn("__part", F.spark_partition_id()), "ranges")
-    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = spread.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order))
+    one = F.col(weight) if weight else F.lit(1)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy(*by, "__part").agg(F.sum(one).alias("__n"))
+    offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum(one).over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return (
         spread.withColumn("__inside", inside)
-        .join(offsets, [key, "__part"])
+        .join(offsets, [*by, "__part"])
         .withColumn("rn", F.col("__before") + F.col("__inside"))
         .drop("__part", "__inside", "__before")
     )
 
 
-def prefix(df: DataFrame, rn: str, chunk: int, total: Column, before: Column, within: Column, name: str, key: str = KEY) -> DataFrame:
-    """A running aggregate over rows numbered by `rn`, in chunks of `chunk` rows.
+def running(
+    df: DataFrame,
+    aggregates: dict[str, tuple[Callable[[Column], Column], Column]],
+    joined: dict[str, Callable[[Column, Column], Column]],
+    chunk: int = CHUNK,
+    by: list[str] | None = None,
+) -> DataFrame:
+    """df, numbered by `rn`, with running aggregates from the first row of each group on.
 
-    total: the aggregate of a whole chunk; before: the aggregate over the totals (`__total`) of
-    earlier chunks; within: of `__before` with the running aggregate inside the chunk,
-    over window columns of df. Only one row a chunk meets in one task.
+    aggregates: name to (aggregate, value); joined: how the result before a chunk and that inside
+    it make one. Rows are cut into chunks of `chunk` rows; one row a chunk meets in one task.
     """
-    cut = df.withColumn("__chunk", F.floor((F.col(rn) - 1) / chunk))
-    totals = cut.groupBy(key, "__chunk").agg(total.alias("__total"))
-    totals = totals.select(key, "__chunk", before.alias("__before"))
-    return cut.join(totals, [key, "__chunk"]).withColumn(name, within).drop("__before", "__chunk")
-
-
-def running_product(df: DataFrame, value: str, name: str, chunk: int = 100_000, key: str = KEY) -> DataFrame:
-    """Product of `value` from the first row on, in order of `rn`, for series of any length."""
-    chunks = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(key, "__chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    return prefix(
-        df,
-        "rn",
-        chunk,
-        F.product(value),
-        F.coalesce(F.product("__total").over(chunks), F.lit(1.0)),
-        F.col("__before") * F.product(value).over(inside),
-        name,
-        key,
-    )
+    by = [KEY] if by is None else by
+    cut = df.withColumn("__chunk", F.floor((F.col("rn") - 1) / chunk))
+    names = list(aggregates)
+    totals = cut.groupBy(*by, "__chunk").agg(*[agg(value).alias(n) for n, (agg, value) in aggregates.items()])
+    chunks = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    befores = [aggregates[n][0](F.col(n)).over(chunks).alias(f"__before_{n}") for n in names]
+    inside = Window.partitionBy(*by, "__chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(totals.select(*by, "__chunk", *befores), [*by, "__chunk"])
+    found = {n: agg(value).over(inside) for n, (agg, value) in aggregates.items()}
+    whole = {n: F.coalesce(joined[n](F.col(f"__before_{n}"), f), f, F.col(f"__before_{n}")) for n, f in found.items()}
+    return out.withColumns(whole).drop("__chunk", *[f"__before_{n}" for n in names])
+
+
+def running_product(df: DataFrame, value: Column, name: str, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    """Product of `value` from the first row on, in order of `rn`."""
+    return running(df, {name: (F.product, value)}, {name: lambda a, b: a * b}, chunk, by)
+
+
+def running_sum(df: DataFrame, value: Column, name: str, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    return running(df, {name: (F.sum, value)}, {name: lambda a, b: a + b}, chunk, by)
+
+
+def running_max(df: DataFrame, value: Column, name: str, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    return running(df, {name: (F.max, value)}, {name: lambda a, b: F.greatest(a, b)}, chunk, by)
+
+
+def with_size(numbered: DataFrame, by: list[str]) -> DataFrame:
+    """Numbered rows with `n`, the size of their group: a row a group is joined."""
+    return numbered.join(numbered.groupBy(*by).agg(F.max("rn").alias("n")), by)
+
+
+def quantiles(df: DataFrame, value: Column, by: list[str], points: dict[str, float]) -> DataFrame:
+    """A row per group with exact quantiles (linear) of `value`, nulls left out."""
+    values = df.select(*by, value.alias("__v")).filter("__v is not null")
+    rows = with_size(ordered_index(values, ["__v"], by=by), by)
+    out = []
+    for name, q in points.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        low = F.floor(at)
+        first = F.max(F.when(F.col("rn") == low + 1, F.col("__v")))
+        second = F.max(F.when(F.col("rn") == F.least(low + 2, F.col("n")), F.col("__v")))
+        out.append((first + (second - first) * F.max(at - low)).alias(name))
+    return rows.groupBy(*by).agg(*out)
+
+
+def with_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """df with `<column>_rank`, from 1 with ties at their mean: counts of equal values, summed up in order."""
+    for c in columns:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("__n"))
+        placed = ordered_index(counts, [c], by=by, weight="__n")
+        df = df.join(placed.select(*by, c, (F.col("rn") - (F.col("__n") - 1) / F.lit(2.0)).alias(f"{c}_rank")), [*by, c])
+    return df

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlight.functions.stats import KEY, by_time
+from barlight.functions.stats import KEY
+from barlight.operators.ordered import ordered_index
 from barlight.session import ship
 
 
@@ -17,11 +18,13 @@ def in_chunks(df: DataFrame, window: int, fn: Callable[[pd.DataFrame], pd.DataFr
     """df with new columns that fn computes from the rows of a series in time order.
 
     A series is cut into chunks of at least `window` rows; the last `window` rows of a chunk are
-    also given to the next, where they are dropped after use. fn sees a chunk with its halo.
+    also given to the next, where they are dropped after use. fn sees a chunk with its halo. Rows
+    are numbered by `rn` where df has it, else without a task per series.
     """
     ship(df.sparkSession)
     size = max(window, chunk or 4 * window)
-    numbered = df.withColumn("__rn", F.row_number().over(by_time()) - 1)
+    numbered = df if "rn" in df.columns else ordered_index(df, ["ts"])
+    numbered = numbered.withColumn("__rn", F.col("rn") - 1)
     own = F.floor(F.col("__rn") / size)
     sent = F.when(F.col("__rn") % size >= size - window, F.array(own, own + 1)).otherwise(F.array(own))
     spread = numbered.withColumn("__own", own).withColumn("__chunk", F.explode(sent))
@@ -85,14 +88,3 @@ def worst_drawdowns(equity: np.ndarray, window: int, least: int = 2) -> np.ndarr
     result = np.array(out[2])
     result[: least - 1] = np.nan
     return result
-
-
-def rolling_max_drawdown(df: DataFrame, equity: str, name: str, window: int) -> DataFrame:
-    """The worst drawdown inside each window of rows; NULL on the first row of a series."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = worst_drawdowns(pdf[equity].to_numpy(float), window)
-        return pdf.assign(**{name: np.where(pdf["__rn"].to_numpy() >= 1, found, np.nan)})
-
-    out = in_chunks(df, window, fn, {name: "double"})
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month
 from barlight.operators.features import LABEL
+from barlight.operators.ordered import quantiles
 
 
 def split_of(ts: Column, validation: str, test: str) -> Column:
@@ -32,8 +33,7 @@ def clipped(rows: DataFrame, train: Column, bounds: tuple[float, float], by: lis
 
     A row of bounds per group is joined: as many as there are series or folds.
     """
-    q = F.percentile(F.when(train, F.col("target")), list(bounds))
-    found = rows.groupBy(*by).agg(q.alias("q")).select(*by, F.get("q", 0).alias("lower"), F.get("q", 1).alias("upper"))
+    found = quantiles(rows.filter(train), F.col("target"), by, {"lower": bounds[0], "upper": bounds[1]})
     return rows.join(found, by).withColumn("target", F.least("upper", F.greatest("lower", "target")))
 
 

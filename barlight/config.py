@@ -15,10 +15,18 @@ class Config:
     tail: float = 0.01
     signal_cost: float = 1e-4
     turnover_cost: float = 5e-5
-    periods_per_year: int = 35_040
     volatility_floor: float = 1e-6
     clip: tuple[float, float] = (0.005, 0.995)
 
+    @property
+    def horizon_seconds(self) -> int:
+        return self.horizon * self.bar_seconds
+
+    @property
+    def periods_per_year(self) -> float:
+        """Rows a year after thinning to one a horizon: 35,040 for three 5-minute bars."""
+        return 365 * 86_400 / self.horizon_seconds
+
 
 #: Daily bars of the test tables: years of history, but few rows a series.
 DAILY = Config(bar_seconds=86_400, threshold_window=480, min_history=112, monitor_window=96)

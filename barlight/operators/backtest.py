@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.config import Config
 from barlight.functions.stats import KEY, by_time, month
 from barlight.operators.features import LABEL
+from barlight.operators.ordered import ordered_index, running_max, running_product
 from barlight.operators.rolling import past_quantiles
 
 SIDES = ("long", "short", "long_short")
-ALL_BEFORE = (Window.unboundedPreceding, 0)
 
 
 def with_thresholds(rows: DataFrame, config: Config) -> DataFrame:
@@ -36,13 +36,13 @@ def signals(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def with_equity(rows: DataFrame, by: list[str], value: str = "net_return") -> DataFrame:
-    """rows with equity (product of 1 + value) and its drawdown below the running peak."""
-    w = Window.partitionBy(*by).orderBy("ts").rowsBetween(*ALL_BEFORE)
-    out = rows.withColumn("equity", F.product(1 + F.col(value)).over(w))
-    return out.withColumn("drawdown", F.try_divide("equity", F.max("equity").over(w)) - 1)
+    """rows with equity (product of 1 + value) and its drawdown below the running peak, in chunks of a group."""
+    out = running_product(ordered_index(rows, ["ts"], by=by), 1 + F.col(value), "equity", by=by)
+    out = running_max(out, F.col("equity"), "__peak", by=by)
+    return out.withColumn("drawdown", F.try_divide("equity", "__peak") - 1).drop("__peak", "rn")
 
 
-def sharpe(value: Column, periods: int) -> Column:
+def sharpe(value: Column, periods: float) -> Column:
     return F.try_divide(F.avg(value), F.stddev_samp(value)) * F.sqrt(F.lit(float(periods)))
 
 
@@ -118,9 +118,9 @@ def positions(rows: DataFrame, config: Config, active: Column | None = None) ->
 
 
 def position_summary(rows: DataFrame, config: Config) -> DataFrame:
-    """One row per series; series that are never active have none."""
+    """One row per series over rows with a threshold; series that are never active have none."""
     on = F.col("position") == 1
-    found = with_equity(rows, [KEY]).groupBy(KEY).agg(
+    found = with_equity(rows.filter(F.col("long_threshold").isNotNull()), [KEY]).groupBy(KEY).agg(
         F.count_if(on).alias("active_periods"),
         F.count_if(F.col("position_change") == 1).alias("entries"),
         F.count_if(F.col("position_change") == -1).alias("exits"),

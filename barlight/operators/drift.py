@@ -107,11 +107,11 @@ def drift_report(rows: DataFrame, columns: tuple[str, ...] = WATCHED) -> DataFra
 
 
 def extreme_months(report: DataFrame, n: int = 5) -> DataFrame:
-    """The n months of each series with the lowest basis points, and with the highest max_psi."""
+    """The n months of each series with the lowest basis points (those without any come last), and with the highest max_psi."""
     low = F.row_number().over(Window.partitionBy(KEY).orderBy(F.asc_nulls_last("gross_bps"), "month"))
     high = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc_nulls_last("max_psi"), "month"))
     kept = [KEY, "month", "gross_bps", "max_psi", "rank"]
-    worst = report.filter("gross_bps is not null").withColumn("rank", low)
+    worst = report.withColumn("rank", low)
     drifted = report.filter("max_psi is not null").withColumn("rank", high)
     return (
         worst.select(F.lit("worst").alias("list"), *kept)

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from barlight.functions.stats import KEY, month
 from barlight.operators import targets
 from barlight.operators.features import FEATURES
-from barlight.operators.metrics import rank_ic, scores, trimmed_ic
+from barlight.operators.metrics import decile_spread, monthly_ic, rank_ic, scores, tail_metrics, trimmed_ic, winner_removal
 from barlight.session import shared_dir, written
 
 #: Trees are many small jobs, so a fit's cached rows are read by tasks of at least so many.
 TASK_ROWS = 20_000
+#: Learning rate of the trees.
+STEP = 0.03
 
 
 def zero(rows: DataFrame) -> DataFrame:
@@ -66,13 +68,13 @@ def assembled(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return rows if "__x" in rows.columns else VectorAssembler(inputCols=columns, outputCol="__x").transform(rows)
 
 
-def _trees(trees: int, loss: str, seed: int) -> GBTRegressor:
+def _trees(trees: int, loss: str, seed: int, step: float = STEP) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="__x",
         labelCol="target",
         predictionCol="prediction",
         lossType=loss,
-        stepSize=0.03,
+        stepSize=step,
         maxDepth=5,
         maxIter=trees,
         featureSubsetStrategy="0.8",
@@ -92,19 +94,20 @@ def best_iteration(model: GBTRegressionModel, valid: DataFrame, loss: str, patie
     return best + 1
 
 
-def searched(train: DataFrame, valid: DataFrame, trees: int, loss: str = "absolute", patience: int = 50) -> tuple[GBTRegressionModel, int]:
+def searched(train: DataFrame, valid: DataFrame, trees: int, loss: str = "absolute", patience: int = 50, step: float = STEP) -> tuple[GBTRegressionModel, int]:
     """Trees fitted on train, and the number of them that patience chooses on valid, of `trees` at most.
 
     A fit of fewer trees is the beginning of one of more (tree m has seed + m). So twice the patience
-    is tried first, and all where patience does not end the search in these: the result is the same.
+    is tried first, and twice as many again until patience ends the search: the result is that of
+    all trees, at a cost of some two to four times the trees that the search looks at.
     """
     limit = min(trees, 2 * patience)
-    model = _trees(limit, loss, 1).fit(train)
-    best = best_iteration(model, valid, loss, patience)
-    if limit < trees and limit - best < patience:
-        model = _trees(trees, loss, 1).fit(train)
+    while True:
+        model = _trees(limit, loss, 1, step).fit(train)
         best = best_iteration(model, valid, loss, patience)
-    return model, best
+        if limit == trees or limit - best >= patience:
+            return model, best
+        limit = min(trees, 2 * limit)
 
 
 def _cached(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,30 +116,38 @@ def _cached(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held, held.coalesce(max(1, math.ceil(held.count() / TASK_ROWS)))
 
 
-def boosted(train: DataFrame, valid: DataFrame, rows: DataFrame, trees: int, loss: str = "absolute", patience: int = 50, refit: DataFrame | None = None) -> tuple[DataFrame, int]:
+def boosted(train: DataFrame, valid: DataFrame, rows: DataFrame, trees: int, loss: str = "absolute", patience: int = 50, refit: DataFrame | None = None, step: float = STEP) -> tuple[DataFrame, int]:
     """rows with predictions of trees stopped early on valid, refitted on `refit` where given."""
     shared_dir(rows.sparkSession, "trees")  # sees to a checkpoint folder, which cuts the lineage of many trees
     held = [_cached(part) for part in (train, valid) + ((refit,) if refit is not None else ())]
     parts = [part for _, part in held]
-    model, best = searched(parts[0], parts[1], trees, loss, patience)
+    model, best = searched(parts[0], parts[1], trees, loss, patience, step)
     if refit is not None or best < model.getNumTrees:
-        model = _trees(best, loss, 1).fit(parts[0] if refit is None else parts[2])
+        model = _trees(best, loss, 1, step).fit(parts[0] if refit is None else parts[2])
     for cached, _ in held:
         cached.unpersist()
     return model.transform(assembled(rows)).drop("__x"), best
 
 
-def comparison(train: DataFrame, valid: DataFrame, losses: dict[str, str], trees: int) -> DataFrame:
-    """Predictions on valid of a model per loss: rows tagged with `model`."""
+def comparison(train: DataFrame, valid: DataFrame, losses: dict[str, str], trees: int, patience: int = 50, step: float = STEP) -> DataFrame:
+    """Predictions on valid of a model per loss, rows tagged with `model`, written once.
+
+    Names that share a loss share its model. Spark's trees have no Huber loss; with alpha 0.9 it is
+    squared loss as long as no residual exceeds that, so "huber" is given as a name of "squared".
+    """
     out = None
-    for name, loss in losses.items():
-        found = boosted(train, valid, valid, trees, loss)[0].withColumn("model", F.lit(name))
+    for loss in dict.fromkeys(losses.values()):
+        names = F.array(*[F.lit(n) for n, x in losses.items() if x == loss])
+        found = boosted(train, valid, valid, trees, loss, patience, step=step)[0].withColumn("model", F.explode(names))
         out = found if out is None else out.unionByName(found)
-    return out
+    return written(out, "compared")
 
 
 def model_scores(predicted: DataFrame) -> DataFrame:
-    """Errors, correlations and trimmed correlations of each model."""
+    """Errors, correlations and trimmed correlations of each model.
+
+    The ranks of a model's rows come from range partitions, as those of a series do.
+    """
     trimmed = trimmed_ic(predicted, ["model"]).select(
         "model", F.col("pearson_ic").alias("trimmed_pearson_ic"), F.col("spearman_ic").alias("trimmed_spearman_ic")
     )
@@ -147,6 +158,14 @@ def model_scores(predicted: DataFrame) -> DataFrame:
     )
 
 
+def target_scores(predicted: DataFrame, tail: float = 0.01) -> DataFrame:
+    """All scores of each model: as model_scores, deciles, tails, monthly correlations, winners removed."""
+    out = model_scores(predicted)
+    for part in (decile_spread(predicted, ["model"]), tail_metrics(predicted, ["model"], tail), monthly_ic(predicted, ["model"]), winner_removal(predicted, ["model"], tail)):
+        out = out.join(part, "model")
+    return out
+
+
 def best_model(predicted: DataFrame) -> DataFrame:
     """Predictions of the model with the highest trimmed Spearman correlation, then Spearman."""
     top = model_scores(predicted).orderBy(F.desc_nulls_last("trimmed_spearman_ic"), F.desc_nulls_last("spearman_ic"), "model")
@@ -162,6 +181,8 @@ def walkforward(
     skip_empty: bool = False,
     parallel: int = 6,
     clip: tuple[float, float] = (0.005, 0.995),
+    patience: int = 50,
+    step: float = STEP,
 ) -> DataFrame:
     """Predictions of each month by trees fitted on the purged past; folds are filters on one table.
 
@@ -193,7 +214,7 @@ def walkforward(
         fit, valid, train, here = folds[at]
         inner = targets.clipped(rows, fit, clip, [KEY])
         refit = targets.clipped(rows, train, clip, [KEY]).filter(train)
-        found, best = boosted(inner.filter(fit), inner.filter(valid), rows.filter(here), trees, refit=refit)
+        found, best = boosted(inner.filter(fit), inner.filter(valid), rows.filter(here), trees, patience=patience, refit=refit, step=step)
         return found.select(KEY, "ts", "prediction", F.lit(at).alias("prediction_month"), F.lit(best).alias("best_iteration"))
 
     if not used:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.config import Config
-from barlight.functions.stats import KEY, by_time, last_rows, month
-from barlight.operators.rolling import rolling_max_drawdown
+from barlight.functions.stats import KEY, by_time, month
+from barlight.operators.ordered import ordered_index, running_product, running_sum
+from barlight.operators.rolling import in_chunks, worst_drawdowns
 
 #: Limits of the codes, in order (code, measure, warning, critical); ratio has two.
 LIMITS = (
@@ -21,35 +24,57 @@ RECOVERY = {"rolling_avg_gross_bps": 1.0, "rolling_hit_rate": 0.52, "current_dra
 SAMPLES = ((10, "VERY_LOW_SAMPLE"), (20, "LOW_SAMPLE"))
 
 
+ROLLING = (
+    "rolling_signal_count",
+    "rolling_signal_frequency",
+    "rolling_avg_gross_bps",
+    "rolling_hit_rate",
+    "rolling_30d_return",
+    "current_drawdown_30d",
+    "rolling_max_drawdown_30d",
+)
+
+
 def rolling_metrics(rows: DataFrame, config: Config) -> DataFrame:
-    """rows (of a position backtest) with the rolling columns that built-in frames give."""
-    w = by_time()
-    frame = last_rows(w, config.monitor_window)
-    everything = w.rowsBetween(Window.unboundedPreceding, 0)
+    """rows (of a position backtest) with the rolling columns, equity and the frequency baseline.
+
+    What runs from the first row on is summed up over chunks of a series; what looks at the last
+    `monitor_window` rows is made in one pass over chunks that also see so many rows before.
+    """
+    window = config.monitor_window
     active = F.col("position") != 0
     rows = rows.withColumns(
         {"is_active": active.cast("int"), "is_win": F.when(active, (F.col("gross_return") > 0).cast("double"))}
     )
-    gross = F.avg(F.when(active, F.col("gross_return"))).over(frame)
-    lost = F.max((F.col("net_return") <= -1).cast("int")).over(frame) == 1
-    rows = rows.withColumns(
-        {
-            "rolling_signal_count": F.sum("is_active").over(frame).cast("double"),
-            "rolling_signal_frequency": F.avg("is_active").over(frame),
-            "rolling_avg_gross_bps": gross * 10_000,
-            "rolling_hit_rate": F.avg("is_win").over(frame),
-            # a total loss has no logarithm: the window's return is then -1
-            "rolling_30d_return": F.when(lost, -1.0).otherwise(F.expm1(F.sum(F.log1p("net_return")).over(frame))),
-            "equity": F.product(1 + F.col("net_return")).over(everything),
-            "historical_signal_frequency": F.avg("is_active").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    rows = running_product(ordered_index(rows, ["ts"]), 1 + F.col("net_return"), "equity")
+    rows = running_sum(rows, F.col("is_active"), "__active")
+    before = F.try_divide(F.col("__active") - F.col("is_active"), F.col("rn") - 1)
+    rows = rows.withColumn("historical_signal_frequency", before).drop("__active")
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        def over(values: pd.Series) -> pd.core.window.Rolling:
+            return values.rolling(window, min_periods=1)
+
+        net, equity, gross = (pdf[c].astype(float) for c in ("net_return", "equity", "gross_return"))
+        # a total loss has no logarithm: the window's return is then -1
+        lost = over((net <= -1).astype(float)).max() > 0
+        growth = np.expm1(over(np.log1p(net.where(net > -1, 0.0))).sum())
+        growth = growth.where(over((net != 0).astype(float)).sum() > 0, 0.0)  # sliding sums leave a rest
+        peak = over(equity).max()
+        found = {
+            "rolling_signal_count": over(pdf["is_active"]).sum(),
+            "rolling_signal_frequency": over(pdf["is_active"]).mean(),
+            "rolling_avg_gross_bps": over(gross.where(pdf["position"] != 0)).mean() * 10_000,
+            "rolling_hit_rate": over(pdf["is_win"].astype(float)).mean(),
+            "rolling_30d_return": growth.where(~lost, -1.0),
+            "current_drawdown_30d": (equity / peak.where(peak != 0)) - 1,
+            "rolling_max_drawdown_30d": np.where(pdf["__rn"] >= 1, worst_drawdowns(equity.to_numpy(), window), np.nan),
         }
-    )
-    return rows.withColumns(
-        {
-            "current_drawdown_30d": F.try_divide("equity", F.max("equity").over(frame)) - 1,
-            "signal_frequency_ratio": F.try_divide("rolling_signal_frequency", "historical_signal_frequency"),
-        }
-    )
+        return pdf.assign(**found)
+
+    out = in_chunks(rows, window, fn, dict.fromkeys(ROLLING, "double"))
+    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ROLLING})
+    return out.withColumn("signal_frequency_ratio", F.try_divide("rolling_signal_frequency", "historical_signal_frequency"))
 
 
 def reasons(kind: str) -> Column:
@@ -81,9 +106,9 @@ def staged(rows: DataFrame, raw: str = "raw_performance_status", ok: str = "reco
     recovery test ends the alert; after a CRITICAL one the first healthy row is still WARNING
     and the test counts from the second on. Rows before any alert are healthy.
     """
-    w = by_time()
     sick = F.col(raw) != "HEALTHY"
-    rows = rows.withColumn("__run", F.sum(sick.cast("int")).over(w))
+    numbered = rows if "rn" in rows.columns else ordered_index(rows, ["ts"])
+    rows = running_sum(numbered, sick.cast("int"), "__run")
     run = Window.partitionBy(KEY, "__run").orderBy("ts")
     after = F.row_number().over(run) - 1
     anchor = F.first(raw).over(run)
@@ -101,8 +126,7 @@ def staged(rows: DataFrame, raw: str = "raw_performance_status", ok: str = "reco
 
 def monitored(rows: DataFrame, config: Config) -> DataFrame:
     """All monitor columns of a position backtest."""
-    out = rolling_max_drawdown(rolling_metrics(rows, config), "equity", "rolling_max_drawdown_30d", config.monitor_window)
-    return with_status(out)
+    return with_status(rolling_metrics(rows, config))
 
 
 def with_status(rows: DataFrame) -> DataFrame:
@@ -118,12 +142,15 @@ def with_status(rows: DataFrame) -> DataFrame:
     raw = F.when(F.size("criticals") >= 2, "CRITICAL").when(F.size("warnings") >= 1, "WARNING").otherwise("HEALTHY")
     out = staged(out.withColumn("raw_performance_status", raw))
     state, sample = F.col("performance_status"), F.col("sample_status")
-    codes = F.when(F.size("criticals") > 0, F.col("criticals")).otherwise(F.col("warnings"))
+    # the codes of the state that holds: critical ones only in state CRITICAL
+    codes = F.when((state == "CRITICAL") & (F.size("criticals") > 0), F.col("criticals")).otherwise(F.col("warnings"))
     reason = (
         F.when(state == "HEALTHY", "NONE").when(F.size(codes) > 0, F.concat_ws("|", codes)).otherwise("RECOVERY_HOLD")
     )
     overall = (
-        F.when(sample.isin("NO_DATA", "VERY_LOW_SAMPLE"), sample)
+        F.when(sample == "NO_DATA", sample)
+        .when((sample == "VERY_LOW_SAMPLE") & (state == "HEALTHY"), sample)
+        .when(sample == "VERY_LOW_SAMPLE", F.concat(state, F.lit("_VERY_LOW_SAMPLE")))
         .when(sample == "LOW_SAMPLE", F.concat(state, F.lit("_LOW_CONFIDENCE")))
         .otherwise(state)
     )
@@ -141,12 +168,25 @@ def daily(rows: DataFrame) -> DataFrame:
     return last.select(KEY, "day", "r.*")
 
 
-def monthly(rows: DataFrame, columns: tuple[str, ...] = ("rolling_signal_count", "rolling_avg_gross_bps", "rolling_hit_rate", "equity", "overall_status")) -> DataFrame:
-    """The last day of each month with the shares of days in alert."""
+#: What monthly and transition reports show of a row.
+STATES = ("sample_status", "performance_status", "overall_status", "alert_reason")
+MEASURES = (
+    "rolling_signal_count",
+    "rolling_avg_gross_bps",
+    "rolling_hit_rate",
+    "rolling_30d_return",
+    "current_drawdown_30d",
+    "rolling_max_drawdown_30d",
+    "signal_frequency_ratio",
+)
+
+
+def monthly(rows: DataFrame) -> DataFrame:
+    """States and measures on the last day of each month, with the shares of days in alert."""
     state = F.col("performance_status")
     return daily(rows).groupBy(KEY, month(F.col("ts")).alias("month")).agg(
         F.count(F.lit(1)).alias("days"),
-        *[F.max_by(c, "ts").alias(c) for c in columns],
+        *[F.max_by(c, "ts").alias(c) for c in (*STATES, *MEASURES, "equity")],
         F.avg(state.isin("WARNING", "CRITICAL").cast("double")).alias("alert_share"),
         F.avg((state == "CRITICAL").cast("double")).alias("critical_share"),
     )
@@ -164,7 +204,7 @@ def transitions(rows: DataFrame, last: int | None = 40) -> DataFrame:
     """Rows whose overall status differs from the one before, the first row too; the last few."""
     before = F.lag("overall_status").over(by_time())
     found = rows.withColumn("previous_status", before).filter(~F.col("overall_status").eqNullSafe(F.col("previous_status")))
-    found = found.select(KEY, "ts", "previous_status", "overall_status", "alert_reason")
+    found = found.select(KEY, "ts", "previous_status", "raw_performance_status", *STATES, *MEASURES)
     if last is None:
         return found
     n = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("ts")))

@@ -24,7 +24,8 @@ def counts(bars: DataFrame) -> DataFrame:
     bottom = F.least("open", "close", "high")
     return bars.groupBy(KEY).agg(
         *[n(F.col(c).isNull()).alias(f"missing_{c}") for c in ("ts", *PRICES, "volume")],
-        (F.count("ts") - F.count_distinct("ts")).alias("duplicate_ts"),
+        # a missing time that repeats is a duplicate, too
+        (F.count(F.lit(1)) - F.count_distinct("ts") - F.max(F.col("ts").isNull().cast("long"))).alias("duplicate_ts"),
         *[n(F.col(c) <= 0).alias(f"nonpositive_{c}") for c in PRICES],
         n(F.col("high") < top).alias("high_too_low"),
         n(F.col("low") > bottom).alias("low_too_high"),

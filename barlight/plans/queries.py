@@ -10,23 +10,30 @@ from pyspark.sql import types as T
 
 from barlight.config import DAILY, HALF_HOUR
 from barlight.functions.stats import KEY, month
-from barlight.operators import backtest, drift, features, metrics, models, monitor, oos, ordered, rolling, targets, validate
+from barlight.operators import backtest, drift, features, metrics, models, monitor, oos, ordered, targets, validate
 from barlight.plans import sql
+from barlight.session import shared_dir, written
 from barlight.sources import bars as sources
 
 VALIDATION, TEST = "2000-01-01", "2001-01-01"
 CUTOFF = "2001-01-01"
-HORIZON = DAILY.horizon * DAILY.bar_seconds
-#: Most trees of a comparison of losses, of a target variant and of a walk-forward fold; early stopping decides.
-COMPARED_TREES = 1000
-TARGET_TREES = 300
-WALK_TREES = 500
+HORIZON = DAILY.horizon_seconds
+#: Boosting of the queries: ten times the usual step of 0.03, and a tenth of the usual trees (1,000 for
+#: a comparison of losses, 300 for a target variant, 500 for a fold) and patience (50), as each tree is
+#: several small jobs here. Early stopping decides below these limits.
+STEP = 0.3
+COMPARED_TREES = 100
+TARGET_TREES = 30
+WALK_TREES = 50
+PATIENCE = 5
+NUDGE = 1e-12
 
 
 def tidy(df: DataFrame, *columns: str, time: str = "yyyy-MM-dd", wide: tuple[str, ...] = ()) -> DataFrame:
     """The columns in comparable form: doubles to 8 digits, integers as long, times as text.
 
-    Columns in `wide`, of any magnitude, become text with 7 significant digits.
+    Columns in `wide`, of any magnitude, become text with 7 significant digits. Values move up by
+    NUDGE first, so that an exact tie of the ninth digit rounds the same whatever its last bit.
     """
     out = []
     for c in columns:
@@ -34,7 +41,7 @@ def tidy(df: DataFrame, *columns: str, time: str = "yyyy-MM-dd", wide: tuple[str
         if c in wide:
             out.append(F.when(F.col(c).isNotNull(), F.format_string("%.6e", F.col(c).cast("double"))).alias(c))
         elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out.append(F.round(F.col(c).cast("double"), 8).alias(c))
+            out.append(F.round(F.col(c).cast("double") + NUDGE, 8).alias(c))
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.LongType)):
             out.append(F.col(c).cast("long").alias(c))
         elif isinstance(kind, T.TimestampType):
@@ -44,12 +51,18 @@ def tidy(df: DataFrame, *columns: str, time: str = "yyyy-MM-dd", wide: tuple[str
     return df.select(*out)
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.daily_bars(spark, sf_dir)
+def utc(spark: SparkSession) -> SparkSession:
+    """The session in UTC, which days, months and hours of all queries are in."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
+def daily(spark: SparkSession, sf_dir: str, series: str = "l_returnflag") -> DataFrame:
+    return sources.daily_bars(utc(spark), sf_dir, series)
 
 
 def half_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.event_bars(spark, sf_dir)
+    return sources.event_bars(utc(spark), sf_dir)
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,20 +71,25 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.momentum(table)
 
 
+def limited(rows: DataFrame) -> DataFrame:
+    """Predictions of every third day, whose labels don't overlap, with thresholds."""
+    return backtest.with_thresholds(targets.thinned(rows, HORIZON), DAILY)
+
+
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of the daily predictions."""
-    return backtest.positions(backtest.with_thresholds(predicted(spark, sf_dir), DAILY), DAILY)
+    return backtest.positions(limited(predicted(spark, sf_dir)), DAILY)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months of the position backtest over all lines as one series."""
-    table = features.feature_table(sources.daily_bars(spark, sf_dir, "'all'"), DAILY.bar_seconds, DAILY.horizon)
-    rows = backtest.positions(backtest.with_thresholds(models.momentum(table), DAILY), DAILY)
+    table = features.feature_table(daily(spark, sf_dir, "'all'"), DAILY.bar_seconds, DAILY.horizon)
+    rows = backtest.positions(limited(models.momentum(table)), DAILY)
     return tidy(backtest.position_monthly(rows), KEY, "month", "active_periods", "turnover", "gross_bps", "monthly_return")
 
 
 def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.signals(backtest.with_thresholds(predicted(spark, sf_dir), DAILY), DAILY)
+    return backtest.signals(limited(predicted(spark, sf_dir)), DAILY)
 
 
 def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +98,7 @@ def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test positions after the cutoff, with earlier predictions as warm-up."""
-    rows = predicted(spark, sf_dir)
+    rows = targets.thinned(predicted(spark, sf_dir), HORIZON)
     history = sources.prediction_history(rows, CUTOFF)
     test = rows.filter(F.col("ts") >= F.lit(CUTOFF).cast("timestamp"))
     return oos.evaluated(history, test, rows, DAILY)
@@ -88,7 +106,7 @@ def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_sql(ctes: str, table: str, columns: dict[str, str], where: str = "") -> str:
     """SQL of a query: columns by kind, d (8 digits), e (7 significant), i (long), s (as is), t (day), u (and time)."""
-    form = {"e": "CASE WHEN {0} IS NOT NULL THEN printf('%.6e', {0}::DOUBLE) END", "d": "round({0}::DOUBLE, 8)", "i": "({0})::BIGINT", "s": "{0}", "t": "strftime({0}, '%Y-%m-%d')", "u": "strftime({0}, '%Y-%m-%d %H:%M:%S')"}
+    form = {"e": "CASE WHEN {0} IS NOT NULL THEN printf('%.6e', {0}::DOUBLE) END", "d": "round({0}::DOUBLE + 1e-12::DOUBLE, 8)", "i": "({0})::BIGINT", "s": "{0}", "t": "strftime({0}, '%Y-%m-%d')", "u": "strftime({0}, '%Y-%m-%d %H:%M:%S')"}
     items = ", ".join(f"{form[k].format(c)} AS {c}" for c, k in columns.items())
     return f"WITH {ctes}\nSELECT {items} FROM {table} {where}"
 
@@ -134,6 +152,20 @@ raw_ AS (SELECT * FROM bars UNION ALL SELECT * REPLACE (open + 1 AS open) FROM b
 one AS (SELECT * FROM raw_ QUALIFY row_number() OVER (PARTITION BY series_id, ts ORDER BY open, high, low, close, volume) = 1)""",
     "one",
 )
+
+
+def _bars_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars written as a stage's CSV and Parquet tables and read back, with what differs between the two."""
+    clean = sources.clean_bars(daily(spark, sf_dir))
+    paths = {fmt: shared_dir(spark, f"stage-{fmt}") for fmt in ("csv", "parquet")}
+    for fmt, path in paths.items():
+        sources.write_stage(clean, path, fmt=fmt)
+    bars, other = (sources.read_bars(spark, path, fmt) for fmt, path in paths.items())
+    both = other.withColumn("in_both", F.lit(1)).dropDuplicates([KEY, "ts", "close"]).select(KEY, "ts", "close", "in_both")
+    return bars.join(both, [KEY, "ts", "close"], "left").withColumn("in_both", F.coalesce("in_both", F.lit(0)))
+
+
+query("bars_stored", _bars_stored, kinds(PRICES, "in_both", t="ts"), sql.DAILY + ",\no AS (SELECT *, 1 AS in_both FROM bars)", "o")
 query(
     "quality_profile",
     lambda s, d: validate.profile(half_hours(s, d)),
@@ -174,7 +206,7 @@ sp AS (SELECT series_id, CASE WHEN day(ts) = 31 THEN date_trunc('month', ts)::TI
     CASE WHEN day(ts) = 15 THEN -volume WHEN day(ts) <> 17 THEN volume END AS volume FROM bars),
 o AS (SELECT series_id, """
     + ", ".join(f"count(*) FILTER ({c} IS NULL) AS missing_{c}" for c in ["ts", *PRICES.split()])
-    + ", count(ts) - count(DISTINCT ts) AS duplicate_ts, "
+    + ", count(*) - count(DISTINCT ts) - max((ts IS NULL)::INTEGER) AS duplicate_ts, "
     + ", ".join(f"count(*) FILTER ({c} <= 0) AS nonpositive_{c}" for c in PRICES.split()[:4])
     + """, count(*) FILTER (high < greatest(open, close, low)) AS high_too_low,
     count(*) FILTER (low > least(open, close, high)) AS low_too_high, count(*) FILTER (volume < 0) AS negative_volume FROM sp GROUP BY 1)""",
@@ -306,42 +338,63 @@ o AS (SELECT series_id, model, count(*) AS n_rows, avg(abs(p - y)) AS mae, sqrt(
 )
 
 
-def _parts(spark: SparkSession, sf_dir: str, volatility: str | None = None) -> tuple[DataFrame, DataFrame]:
-    rows = targets.normalized(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), volatility)
+def _parts(table: DataFrame, volatility: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of a feature table; targets in units of a volatility are clipped, raw ones not."""
+    rows = targets.normalized(table, volatility)
     begin = F.lit(VALIDATION).cast("timestamp")
-    rows = targets.clipped(rows, F.col("ts") < begin, DAILY.clip, [KEY])
+    if volatility:
+        rows = targets.clipped(rows, F.col("ts") < begin, DAILY.clip, [KEY])
     return rows.filter(F.col("ts") < begin), rows.filter((F.col("ts") >= begin) & (F.col("ts") < F.lit(TEST).cast("timestamp")))
 
 
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily feature table, written once for all fits."""
+    return written(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), "features")
+
+
 def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid = _parts(spark, sf_dir)
+    train, valid = _parts(_table(spark, sf_dir))
     return metrics.scores(models.ridge(train, valid), [KEY])
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid = _parts(spark, sf_dir)
-    return models.comparison(train, valid, {"l1": "absolute", "l2": "squared"}, COMPARED_TREES)
+    train, valid = _parts(_table(spark, sf_dir))
+    losses = {"l1": "absolute", "l2": "squared", "huber": "squared"}
+    return models.comparison(train, valid, losses, COMPARED_TREES, PATIENCE, STEP)
 
 
 def _target_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    out, table = None, _table(spark, sf_dir)
     for name, volatility in (("raw", None), ("vol_12", "volatility_12"), ("vol_48", "volatility_48")):
-        train, valid = _parts(spark, sf_dir, volatility)
-        found = models.boosted(train, valid, targets.thinned(valid, HORIZON), TARGET_TREES)[0].withColumn("model", F.lit(name))
+        train, valid = _parts(table, volatility)
+        found = models.boosted(train, valid, targets.thinned(valid, HORIZON), TARGET_TREES, patience=PATIENCE, step=STEP)[0]
+        # the market's own return is what all variants are scored on; lower and upper are of clipped ones only
+        found = found.select("ts", "prediction", features.LABEL, F.lit(name).alias("model"))
         out = found if out is None else out.unionByName(found)
-    return models.model_scores(out)
+    return models.target_scores(written(out, "variants"))
 
 
 def _walkforward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The target rows, and the predictions of every month from the test's start to the last row."""
-    rows = targets.normalized(features.feature_table(daily(spark, sf_dir), DAILY.bar_seconds, DAILY.horizon), "volatility_12")
-    return rows, models.walkforward(rows, targets.months_from(rows, TEST), HORIZON, WALK_TREES, skip_empty=True, clip=DAILY.clip)
+    rows = targets.normalized(_table(spark, sf_dir), "volatility_48")
+    months = targets.months_from(rows, TEST)
+    return rows, models.walkforward(rows, months, HORIZON, WALK_TREES, skip_empty=True, clip=DAILY.clip, patience=PATIENCE, step=STEP)
 
 
 _SCORES = kinds("mae rmse pearson_ic spearman_ic trimmed_pearson_ic trimmed_spearman_ic", "n_rows", s="model")
 query("ridge_score", _ridge, kinds("mae rmse pearson_ic", "n_rows"))
 query("gbt_comparison", lambda s, d: models.model_scores(_compared(s, d)), _SCORES)
-query("gbt_targets", _target_variants, _SCORES)
+query(
+    "gbt_targets",
+    _target_variants,
+    _SCORES
+    | kinds(
+        "bottom_decile top_decile decile_spread short_bps short_hit_rate long_bps long_hit_rate ic_mean ic_std ic_positive "
+        "remove_0 remove_1 remove_3 remove_5",
+        "months",
+        s="model",
+    ),
+)
 query("best_model", lambda s, d: models.best_model(_compared(s, d)), kinds("close future_return prediction", s=f"{KEY} model", t="ts"))
 query("walkforward_predictions", lambda s, d: _walkforward(s, d)[1], kinds("prediction", "best_iteration", s=f"{KEY} prediction_month", t="ts"))
 
@@ -428,7 +481,7 @@ o AS (SELECT series_id, """
 
 query(
     "rolling_thresholds",
-    lambda s, d: backtest.with_thresholds(predicted(s, d), DAILY),
+    lambda s, d: limited(predicted(s, d)),
     kinds("prediction short_threshold long_threshold", t="ts"),
     sql.predicted() + "," + sql.thresholds(),
     "thr",
@@ -481,12 +534,12 @@ query(
     lambda s, d: backtest.position_summary(held(s, d), DAILY),
     kinds("gross_bps cost_bps max_drawdown", "active_periods entries exits turnover", e="sharpe total_return"),
     sql.backtested()
-    + """,
-e AS (SELECT *, product(1 + net_return) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM pos),
+    + f""",
+e AS (SELECT *, product(1 + net_return) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM pos WHERE long_threshold IS NOT NULL),
 dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM e),
 o AS (SELECT series_id, count(*) FILTER (position = 1) AS active_periods, count(*) FILTER (position_change = 1) AS entries,
     count(*) FILTER (position_change = -1) AS exits, sum(turnover) AS turnover, avg(gross_return) FILTER (position = 1) * 10000 AS gross_bps,
-    sum(transaction_cost) * 10000 AS cost_bps, avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(35040) AS sharpe,
+    sum(transaction_cost) * 10000 AS cost_bps, avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt({sql.PERIODS}) AS sharpe,
     min(drawdown) AS max_drawdown, product(1 + net_return) - 1 AS total_return FROM dd GROUP BY 1 HAVING count(*) FILTER (position = 1) > 0)""",
     "o",
 )
@@ -545,8 +598,8 @@ query(
     kinds("gross_bps max_psi", "rank", s=f"{KEY} list month"),
     sql.drift()
     + """,
-o AS (SELECT series_id, 'worst' AS list, month, gross_bps, max_psi, row_number() OVER (PARTITION BY series_id ORDER BY gross_bps, month) AS rank
-    FROM rep WHERE gross_bps IS NOT NULL QUALIFY rank <= 5
+o AS (SELECT series_id, 'worst' AS list, month, gross_bps, max_psi, row_number() OVER (PARTITION BY series_id ORDER BY gross_bps NULLS LAST, month) AS rank
+    FROM rep QUALIFY rank <= 5
   UNION ALL SELECT series_id, 'drift', month, gross_bps, max_psi, row_number() OVER (PARTITION BY series_id ORDER BY max_psi DESC, month) AS rank
     FROM rep WHERE max_psi IS NOT NULL QUALIFY rank <= 5)""",
     "o",
@@ -579,13 +632,12 @@ query(
 )
 query(
     "monitor_max_drawdown",
-    lambda s, d: rolling.rolling_max_drawdown(
-        monitor.rolling_metrics(held(s, d), DAILY), "equity", "rolling_max_drawdown_30d", DAILY.monitor_window
-    ),
+    lambda s, d: monitor.rolling_metrics(held(s, d), DAILY),
     kinds("rolling_max_drawdown_30d", t="ts"),
     sql.max_drawdown(),
     "mdd",
 )
+_MEASURES = " ".join(c for c in monitor.MEASURES if c != "rolling_30d_return")
 _STATES = f"{KEY} sample_status raw_performance_status performance_status alert_reason overall_status"
 query("monitor_status", watched, kinds(s=_STATES, t="ts"), sql.status(), "sta")
 query(
@@ -605,16 +657,11 @@ query(
 query(
     "monitor_monthly",
     lambda s, d: monitor.monthly(watched(s, d)),
-    kinds(
-        "rolling_signal_count rolling_avg_gross_bps rolling_hit_rate alert_share critical_share",
-        "days",
-        s=f"{KEY} month overall_status",
-        e="equity",
-    ),
+    kinds(f"{_MEASURES} alert_share critical_share", "days", s=f"{KEY} month {' '.join(monitor.STATES)}", e="equity rolling_30d_return"),
     sql.days()
     + """,
 o AS (SELECT series_id, month, count(*) AS days, """
-    + ", ".join(f"last({c} ORDER BY ts) AS {c}" for c in "rolling_signal_count rolling_avg_gross_bps rolling_hit_rate equity overall_status".split())
+    + ", ".join(f"last({c} ORDER BY ts) AS {c}" for c in [*monitor.STATES, *monitor.MEASURES, "equity"])
     + """, avg((performance_status IN ('WARNING', 'CRITICAL'))::INTEGER) AS alert_share,
     avg((performance_status = 'CRITICAL')::INTEGER) AS critical_share FROM day_ GROUP BY 1, 2)""",
     "o",
@@ -632,7 +679,7 @@ o AS (SELECT series_id, reason, count(*) AS n_rows FROM ex GROUP BY 1, 2)""",
 query(
     "monitor_transitions",
     lambda s, d: monitor.transitions(watched(s, d)),
-    kinds(s=f"{KEY} previous_status overall_status alert_reason", t="ts"),
+    kinds(_MEASURES, s=f"{KEY} previous_status raw_performance_status {' '.join(monitor.STATES)}", t="ts", e="rolling_30d_return"),
     sql.status()
     + """,
 lg AS (SELECT *, lag(overall_status) OVER (PARTITION BY series_id ORDER BY ts) AS previous_status FROM sta),
@@ -662,14 +709,14 @@ query(
     sql.oos(CUTOFF)
     + ","
     + _IC
-    + """,
+    + f""",
 te AS (SELECT *, product(1 + net_return) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM tst),
 td AS (SELECT *, equity / max(equity) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM te),
 ts_ AS (SELECT series_id, count(*) AS test_rows, count(*) FILTER (position = 1) AS active_periods, count(*) FILTER (position_change = 1) AS entries,
     count(*) FILTER (position_change = -1) AS exits, avg(position) AS signal_frequency, avg(gross_return) FILTER (position = 1) * 10000 AS gross_bps,
     avg(gross_return) FILTER (position = 1) * 10000 - sum(transaction_cost) * 10000 / nullif(count(*) FILTER (position = 1), 0) AS net_edge_bps,
     avg((gross_return > 0)::INTEGER) FILTER (position = 1) AS gross_hit_rate, sum(transaction_cost) * 10000 AS cost_bps,
-    avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(35040) AS sharpe, min(drawdown) AS max_drawdown,
+    avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt({sql.PERIODS}) AS sharpe, min(drawdown) AS max_drawdown,
     product(1 + net_return) - 1 AS total_return, min(ts) AS first_ts, max(ts) AS last_ts FROM td GROUP BY 1),
 o AS (SELECT * FROM ts_ LEFT JOIN tic USING (series_id))""",
     "o",
@@ -695,16 +742,14 @@ o AS (SELECT * FROM om LEFT JOIN mic USING (series_id, month))""",
 )
 query(
     "ordered_index",
-    lambda s, d: ordered.ordered_index(daily(s, d), ["ts"], 8),
+    lambda s, d: ordered.ordered_index(daily(s, d), ["ts"]),
     kinds("close", "rn", t="ts"),
     sql.DAILY + ",\no AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS rn FROM bars)",
     "o",
 )
 query(
     "running_equity",
-    lambda s, d: ordered.running_product(
-        ordered.ordered_index(held(s, d), ["ts"], 8).withColumn("growth", 1 + F.col("net_return")), "growth", "equity", 500
-    ),
+    lambda s, d: ordered.running_product(ordered.ordered_index(held(s, d), ["ts"]), 1 + F.col("net_return"), "equity", 100),
     kinds(i="rn", t="ts", e="equity"),
     sql.backtested()
     + """,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 DAY = "strftime(ts, '%Y-%m-%d')"
 TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+#: Three daily bars; backtests take one row a horizon, so many a year.
+HORIZON = 259_200
+PERIODS = "(365 * 86400 / 259200.0::DOUBLE)"
 MONTH = "strftime(ts, '%Y-%m')"
 
 DAILY = """
@@ -14,8 +17,8 @@ bars AS (SELECT series_id, ts, first(p ORDER BY l_orderkey, l_linenumber, p) AS
   FROM lines GROUP BY series_id, ts)"""
 
 HALF_HOUR = """
-bars AS (SELECT 'all' AS series_id, time_bucket(INTERVAL '30 minutes', ts::TIMESTAMP) AS ts,
-    first(value ORDER BY ts) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts) AS close,
+bars AS (SELECT event_type AS series_id, time_bucket(INTERVAL '30 minutes', ts::TIMESTAMP) AS ts,
+    first(value ORDER BY ts, event_id, value) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id, value) AS close,
     count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"""
 
 
@@ -87,9 +90,10 @@ def ic(table: str, by: str, name: str) -> str:
 
 
 def thresholds(table: str = "pred", name: str = "thr") -> str:
+    """Table `name`: the thinned rows of table with thresholds from past rows only."""
     q = "CASE WHEN count(prediction) OVER w >= 112 THEN quantile_cont(prediction, {}) OVER w END AS {}"
     return f"""
-{name} AS (SELECT *, {q.format(0.01, "short_threshold")}, {q.format(0.99, "long_threshold")} FROM {table}
+{name} AS (SELECT *, {q.format(0.01, "short_threshold")}, {q.format(0.99, "long_threshold")} FROM (SELECT * FROM {table} WHERE epoch(ts)::BIGINT % {HORIZON} = 0)
   WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 480 PRECEDING AND 1 PRECEDING))"""
 
 
@@ -114,7 +118,7 @@ side_m AS (SELECT series_id, side, month, count(*) FILTER (signal <> 0) AS trade
 
 
 def side_sum() -> str:
-    return """
+    return f"""
 side_e AS (SELECT *, product(1 + net_return) OVER (PARTITION BY series_id, side ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity
   FROM side_bt WHERE short_threshold IS NOT NULL AND long_threshold IS NOT NULL),
 side_d AS (SELECT *, equity / max(equity) OVER (PARTITION BY series_id, side ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM side_e),
@@ -124,7 +128,7 @@ side_s AS (SELECT series_id, side, count(*) FILTER (signal <> 0) AS trades, coun
     avg((gross_return > 0)::INTEGER) FILTER (signal <> 0) AS gross_hit_rate,
     avg((net_return > 0)::INTEGER) FILTER (signal <> 0) AS net_hit_rate,
     avg(gross_return) FILTER (signal = 1) * 10000 AS long_bps, avg(gross_return) FILTER (signal = -1) * 10000 AS short_bps,
-    CASE WHEN count(*) FILTER (signal <> 0) > 0 THEN avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(35040) END AS sharpe,
+    CASE WHEN count(*) FILTER (signal <> 0) > 0 THEN avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt({PERIODS}) END AS sharpe,
     CASE WHEN count(*) FILTER (signal <> 0) > 0 THEN min(drawdown) END AS max_drawdown,
     CASE WHEN count(*) FILTER (signal <> 0) > 0 THEN product(1 + net_return) - 1 END AS total_return
   FROM side_d GROUP BY ALL)"""
@@ -235,9 +239,10 @@ st4 AS (SELECT *, max((raw_performance_status = 'HEALTHY' AND recovery AND k >=
     OVER (PARTITION BY series_id, run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS healed FROM st3),
 st5 AS (SELECT *, CASE WHEN raw_performance_status <> 'HEALTHY' THEN raw_performance_status WHEN run = 0 OR healed = 1 THEN 'HEALTHY' ELSE 'WARNING' END
     AS performance_status FROM st4),
-sta AS (SELECT *, CASE WHEN performance_status = 'HEALTHY' THEN 'NONE' WHEN len(criticals) > 0 THEN array_to_string(criticals, '|')
+sta AS (SELECT *, CASE WHEN performance_status = 'HEALTHY' THEN 'NONE' WHEN performance_status = 'CRITICAL' AND len(criticals) > 0 THEN array_to_string(criticals, '|')
       WHEN len(warnings) > 0 THEN array_to_string(warnings, '|') ELSE 'RECOVERY_HOLD' END AS alert_reason,
-    CASE WHEN sample_status IN ('NO_DATA', 'VERY_LOW_SAMPLE') THEN sample_status WHEN sample_status = 'LOW_SAMPLE' THEN performance_status || '_LOW_CONFIDENCE'
+    CASE WHEN sample_status = 'NO_DATA' OR (sample_status = 'VERY_LOW_SAMPLE' AND performance_status = 'HEALTHY') THEN sample_status
+      WHEN sample_status = 'VERY_LOW_SAMPLE' THEN performance_status || '_VERY_LOW_SAMPLE' WHEN sample_status = 'LOW_SAMPLE' THEN performance_status || '_LOW_CONFIDENCE'
       ELSE performance_status END AS overall_status FROM st5)"""
 
 

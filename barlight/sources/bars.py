@@ -53,8 +53,10 @@ def prediction_history(predictions: DataFrame, cutoff: str) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str, series: str = "l_returnflag") -> DataFrame:
-    """Daily bars of order lines: price a unit, by ship date; a series per value of `series`."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Daily bars of order lines: price a unit, by ship date; a series per value of `series`.
+
+    Times are read in the session's zone; the queries set it to UTC.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.expr(series).cast("string").alias(KEY),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
@@ -73,19 +75,22 @@ def daily_bars(spark: SparkSession, sf_dir: str, series: str = "l_returnflag") -
     )
 
 
-def event_bars(spark: SparkSession, sf_dir: str, width: str = "30 minutes", series: str = "'all'") -> DataFrame:
-    """Intraday bars of event values; volume counts the events."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def event_bars(spark: SparkSession, sf_dir: str, width: str = "30 minutes", series: str = "event_type") -> DataFrame:
+    """Intraday bars of event values, a series per value of `series`; volume counts the events.
+
+    Of events at one time the one with the least id is first. Times are read in the session's zone.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.expr(series).cast("string").alias(KEY), F.col("ts").cast("timestamp").alias("at"), "value"
+        F.expr(series).cast("string").alias(KEY), F.col("ts").cast("timestamp").alias("at"), "value", "event_id"
     )
+    order = F.struct("at", "event_id", "value")
     return (
         events.groupBy(KEY, F.window("at", width).alias("w"))
         .agg(
-            F.min_by("value", "at").alias("open"),
+            F.min_by("value", order).alias("open"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
-            F.max_by("value", "at").alias("close"),
+            F.max_by("value", order).alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select(KEY, F.col("w.start").alias("ts"), *PRICES, "volume")

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from barlight.config import Config
 from barlight.functions.stats import KEY
 from barlight.operators import backtest, drift, features, metrics, models, monitor, oos, ordered, rolling, targets, validate
+from barlight.plans import sql
 from barlight.sources import bars as sources
 
 START = datetime(2024, 1, 1)
@@ -85,7 +87,7 @@ def test_quality_counts(spark):
 @pytest.mark.parametrize("n", [1, 10, 11, 12, 20, 100])
 def test_deciles_equal_quantile_bins(spark, n):
     frame = predictions(spark, np.arange(n) % 7)
-    got = frame.withColumn("bin", metrics.decile([KEY])).orderBy("prediction", "ts").toPandas()
+    got = metrics.with_decile(frame, [KEY]).orderBy("prediction", "ts").toPandas()
     want = [0] if n == 1 else pd.qcut(np.arange(1, n + 1), 10, labels=False)
     assert got.bin.tolist() == list(want)
 
@@ -207,10 +209,179 @@ def test_ridge_equals_the_normal_equations(spark):
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+def test_running_aggregates_pass_over_nulls_and_signs(spark):
+    values = [0.5, None, -2.0, 3.0, None, -1.0, 4.0, 0.25, None, 2.0, -3.0]
+    rows = [(k, i, v) for k in ("a", "b") for i, v in enumerate(values if k == "a" else [None, None, None, 2.0, 5.0])]
+    numbered = ordered.ordered_index(spark.createDataFrame(rows, f"{KEY} string, i int, v double"), ["i"], 3)
+    for chunk in (1, 2, 3, 100):
+        got = ordered.running_sum(ordered.running_max(ordered.running_product(numbered, F.col("v"), "p", chunk), F.col("v"), "m", chunk), F.col("v"), "s", chunk)
+        for k in ("a", "b"):
+            found = got.filter(F.col(KEY) == k).orderBy("i").toPandas()
+            v = pd.Series(found.v, dtype=float)
+            seen = v.notna().cumsum() > 0
+            np.testing.assert_allclose(found.p.astype(float), v.fillna(1).cumprod().where(seen))
+            np.testing.assert_allclose(found.s.astype(float), v.fillna(0).cumsum().where(seen))
+            np.testing.assert_allclose(found.m.astype(float), v.cummax().ffill())
+
+
+def test_quantiles_and_ranks_without_a_task_per_group(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, float(v)) for k, n in (("a", 200), ("b", 7), ("c", 1)) for v in rng.integers(0, 25, n)] + [("b", None)]
+    frame = spark.createDataFrame(rows, f"{KEY} string, v double").repartition(5)
+    points = {"low": 0.005, "mid": 0.5, "high": 0.99}
+    got = {r[KEY]: r for r in ordered.quantiles(frame, F.col("v"), [KEY], points).collect()}
+    ranked = ordered.with_ranks(frame.filter("v is not null"), ["v"], [KEY]).toPandas()
+    for k in ("a", "b", "c"):
+        values = pd.Series([v for s, v in rows if s == k and v is not None])
+        for name, q in points.items():
+            assert abs(got[k][name] - values.quantile(q)) < 1e-12
+        mine = ranked[ranked[KEY] == k]
+        np.testing.assert_allclose(sorted(mine.v_rank), sorted(values.rank()))
+        assert mine.groupby("v").v_rank.nunique().max() == 1
+
+
+def test_missing_times_that_repeat_are_duplicates(spark):
+    rows = [("a", t, 1.0, 1.0, 1.0, 1.0, 1.0) for t in (START, START, None, None, None)] + [("b", None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    got = {r[KEY]: r.duplicate_ts for r in validate.counts(spark.createDataFrame(rows, sources.BARS)).collect()}
+    assert got == {"a": 3, "b": 0}
+
+
+def test_position_summary_leaves_the_warm_up_out(spark):
+    """Worked by hand: returns of the three rows with a threshold are 0.02 - 0.00005, -0.01 and 0 - 0.00005."""
+    rows = predictions(spark, [5, 5, 2, 2, 0], [0.5, 0.5, 0.02, -0.01, 0.3])
+    rows = rows.withColumn("long_threshold", F.when(F.col("ts") >= START + timedelta(days=2), 1.0))
+    config = Config(bar_seconds=86_400)
+    r = backtest.position_summary(backtest.positions(rows, config), config).first()
+    net = np.array([0.02 - 5e-5, -0.01, -5e-5])
+    assert (r.active_periods, r.entries, r.exits, r.turnover) == (2, 1, 1, 2)
+    assert abs(r.sharpe - net.mean() / net.std(ddof=1) * np.sqrt(365 / 3)) < 1e-9
+    assert abs(r.total_return - (np.prod(1 + net) - 1)) < 1e-12
+    assert abs(r.max_drawdown - ((1 + net[1]) * (1 + net[2]) - 1)) < 1e-12
+
+
+def test_periods_follow_the_thinned_rows():
+    assert Config().periods_per_year == 35_040 and Config(bar_seconds=86_400).periods_per_year == 365 / 3
+
+
+def test_alert_reason_and_overall_status_by_state(spark):
+    """Worked by hand: the codes shown are those of the state that holds, and no state is lost at few samples."""
+    cases = [  # count, edge, hit rate, drawdown now, worst drawdown, ratio, recent state; reason, overall
+        ("a", 30.0, -2.0, 0.60, 0.0, 0.0, 1.0, "NEGATIVE_EDGE", "WARNING"),  # one critical code: a warning
+        ("b", 30.0, -2.0, 0.46, 0.0, 0.0, 1.0, "NEGATIVE_EDGE|LOW_HIT_RATE", "WARNING"),  # both warnings are told
+        ("c", 30.0, -2.0, 0.40, -0.04, 0.0, 1.0, "NEGATIVE_EDGE|LOW_HIT_RATE", "CRITICAL"),  # critical ones only
+        ("d", 5.0, 2.0, 0.60, 0.0, 0.0, 1.0, "NONE", "VERY_LOW_SAMPLE"),
+        ("e", 5.0, -0.5, 0.60, 0.0, 0.0, 1.0, "NEGATIVE_EDGE", "WARNING_VERY_LOW_SAMPLE"),
+        ("f", 15.0, 2.0, 0.60, 0.0, 0.0, 1.0, "NONE", "HEALTHY_LOW_CONFIDENCE"),
+        ("g", 15.0, -2.0, 0.40, 0.0, 0.0, 1.0, "NEGATIVE_EDGE|LOW_HIT_RATE", "CRITICAL_LOW_CONFIDENCE"),
+        ("h", None, None, None, None, None, None, "NONE", "NO_DATA"),
+    ]
+    names = "rolling_signal_count rolling_avg_gross_bps rolling_hit_rate current_drawdown_30d rolling_max_drawdown_30d signal_frequency_ratio"
+    schema = f"{KEY} string, ts timestamp, " + ", ".join(f"{c} double" for c in names.split())
+    got = monitor.with_status(spark.createDataFrame([(c[0], START, *c[1:7]) for c in cases], schema)).collect()
+    assert {r[KEY]: (r.alert_reason, r.overall_status) for r in got} == {c[0]: c[7:] for c in cases}
+
+
+def test_worst_months_end_with_those_without_a_value(spark):
+    rows = [("a", f"2024-0{i}", g, m) for i, (g, m) in enumerate([(2.0, None), (None, 0.3), (-1.0, 0.2)], 1)]
+    got = drift.extreme_months(spark.createDataFrame(rows, f"{KEY} string, month string, gross_bps double, max_psi double")).collect()
+    assert [r.month for r in sorted(got, key=lambda r: r["rank"]) if r.list == "worst"] == ["2024-03", "2024-01", "2024-02"]
+    assert [r.month for r in sorted(got, key=lambda r: r["rank"]) if r.list == "drift"] == ["2024-02", "2024-03"]
+
+
+def test_rolling_metrics_against_pandas(spark):
+    rng = np.random.default_rng(14)
+    n, config = 150, Config(monitor_window=12)
+    position, change = rng.integers(0, 2, n), rng.normal(0, 0.02, n)
+    rows = [(s, START + timedelta(days=i), int(position[i]), float(position[i] * change[i]), float(position[i] * change[i] - 1e-5)) for s in "ab" for i in range(n)]
+    frame = spark.createDataFrame(rows, f"{KEY} string, ts timestamp, position int, gross_return double, net_return double")
+    got = monitor.rolling_metrics(frame, config).filter(f"{KEY} = 'b'").orderBy("ts").toPandas()
+    gross, net, active = pd.Series(position * change), pd.Series(position * change - 1e-5), pd.Series(position)
+    equity = (1 + net).cumprod()
+    for name, want in {
+        "rolling_signal_count": active.rolling(12, min_periods=1).sum(),
+        "rolling_avg_gross_bps": gross.where(active != 0).rolling(12, min_periods=1).mean() * 10_000,
+        "rolling_hit_rate": (gross > 0).astype(float).where(active != 0).rolling(12, min_periods=1).mean(),
+        "rolling_30d_return": np.expm1(np.log1p(net).rolling(12, min_periods=1).sum()),
+        "equity": equity,
+        "current_drawdown_30d": equity / equity.rolling(12, min_periods=1).max() - 1,
+        "historical_signal_frequency": active.shift(1).expanding(1).mean(),
+    }.items():
+        np.testing.assert_allclose(got[name].astype(float), want, atol=1e-10, err_msg=name)
+
+
+def test_best_iteration_is_where_loss_last_fell(spark):
+    class Told:
+        def __init__(self, errors):
+            self.errors = errors
+
+        def evaluateEachIteration(self, valid, loss):
+            return self.errors
+
+    def plain(errors, patience):
+        best = 0
+        for i in range(len(errors)):
+            if errors[i] < errors[best]:
+                best = i
+            if i - best >= patience:
+                break
+        return best + 1
+
+    rng = np.random.default_rng(15)
+    for _ in range(100):
+        errors = rng.integers(0, 9, int(rng.integers(1, 30))).astype(float).tolist()
+        for patience in (1, 3, 50):
+            assert models.best_iteration(Told(errors), None, "squared", patience) == plain(errors, patience)
+
+
+def test_comparison_has_a_row_for_each_loss(spark, monkeypatch):
+    monkeypatch.setattr(models, "boosted", lambda train, valid, rows, trees, loss, patience, step: (rows.withColumn("prediction", F.lit(0.5 if loss == "squared" else 0.1)), 1))
+    rows = predictions(spark, [1, 2], [0.1, 0.2]).drop("prediction")
+    got = models.comparison(rows, rows, {"l1": "absolute", "l2": "squared", "huber": "squared"}, 5).collect()
+    assert sorted({(r.model, r.prediction) for r in got}) == [("huber", 0.5), ("l1", 0.1), ("l2", 0.5)] and len(got) == 6
+
+
+def test_best_model_from_stored_predictions_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    y = rng.normal(size=90)
+    rows = [("a", START + timedelta(days=i), float(y[i]), float(y[i] * w + rng.normal()), m) for m, w in (("x", 0.2), ("y", 2.0), ("z", 0.0)) for i in range(90)]
+    spark.createDataFrame(rows, f"{KEY} string, ts timestamp, future_return double, prediction double, model string").write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    con = duckdb.connect()
+    con.sql(f"create view pred as select * from '{tmp_path}/p/*.parquet'")
+    lim = "lim AS (SELECT model, quantile_cont(abs(future_return), 0.99) AS lim FROM pred GROUP BY 1), trm AS (SELECT pred.* FROM pred JOIN lim USING (model) WHERE abs(future_return) <= lim),"
+    want = con.sql(f"WITH {lim}{sql.ic('trm', 'model', 'o')} SELECT model, spearman_ic, pearson_ic FROM o ORDER BY spearman_ic DESC").fetchall()
+    got = {r.model: r for r in models.model_scores(stored).collect()}
+    for model, spearman, pearson in want:
+        assert abs(got[model].trimmed_spearman_ic - spearman) < 1e-12 and abs(got[model].trimmed_pearson_ic - pearson) < 1e-12
+    best = models.best_model(stored)
+    assert {r.model for r in best.collect()} == {want[0][0]} == {"y"} and best.count() == 90
+    assert set(models.target_scores(stored).columns) >= {"decile_spread", "long_bps", "ic_mean", "remove_5"}
+
+
+def test_trained_predictions_go_on_to_the_backtest(spark):
+    """Walk-forward predictions joined to their labels, thinned, and backtested: every stage keeps its rows."""
+    rows = modelled(spark).withColumn("future_return", F.col("target") / 1000)
+    found = models.walkforward(rows, targets.months_from(rows, "2024-02-01"), 86_400, 2, 10, patience=1)
+    both = found.join(rows.select(KEY, "ts", "future_return"), [KEY, "ts"])
+    config = Config(bar_seconds=86_400, horizon=1, threshold_window=30, min_history=5, tail=0.2)
+    held = backtest.positions(backtest.with_thresholds(targets.thinned(both, config.horizon_seconds), config), config)
+    assert held.count() == found.count() == 89
+    r = backtest.position_summary(held, config).first()
+    assert r.active_periods > 0 and r.entries >= r.exits
+
+
+def test_fold_report_has_the_rows_of_the_fold_table(spark):
+    rows = modelled(spark)
+    table = targets.folds(rows, "2024-01-01", 86_400, 10, skip_empty=True)
+    found = models.walkforward(rows, targets.months_from(rows, "2024-01-01"), 86_400, 2, 10, skip_empty=True, patience=1)
+    report = models.fold_report(table, found).toPandas()
+    assert sorted(report.month) == sorted(table.toPandas().month) and report.best_iteration.between(1, 2).all()
+
+
 def test_ordered_index_and_running_product(spark):
     frame = predictions(spark, np.linspace(0.9, 1.1, 50))
     numbered = ordered.ordered_index(frame, ["ts"], 5)
-    got = ordered.running_product(numbered, "prediction", "total", 7).orderBy("ts").toPandas()
+    got = ordered.running_product(numbered, F.col("prediction"), "total", 7).orderBy("ts").toPandas()
     assert got.rn.tolist() == list(range(1, 51))
     np.testing.assert_allclose(got.total, np.cumprod(np.linspace(0.9, 1.1, 50)))
 
@@ -232,7 +403,7 @@ def test_walkforward_takes_every_month_and_real_tree_limits(spark, monkeypatch):
     monkeypatch.setattr(models, "walkforward", lambda rows, months, horizon, trees, **k: taken.update(months=months, trees=trees))
     queries._walkforward(spark, "/root/testdata/sf0.01")
     folds = queries.QUERIES["fold_table"](spark, "/root/testdata/sf0.01").toPandas()
-    assert taken["months"] == sorted(set(folds.month)) and len(taken["months"]) > 2 and taken["trees"] == 500
+    assert taken["months"] == sorted(set(folds.month)) and len(taken["months"]) > 2 and taken["trees"] == 50
 
 
 def modelled(spark, n=120):
@@ -261,7 +432,7 @@ def test_walkforward_predicts_each_month_once(spark):
 def test_walkforward_clips_targets_by_training_rows_of_the_fold(spark, monkeypatch):
     seen = {}
 
-    def watched(train, valid, rows, trees, refit):
+    def watched(train, valid, rows, trees, refit, patience, step):
         for name, part in (("fit", train), ("valid", valid), ("refit", refit)):
             seen[name] = part.orderBy("ts").toPandas().target
         return rows.withColumn("prediction", F.lit(0.0)), 1
@@ -283,11 +454,11 @@ def test_tree_queries_have_limits_above_the_patience(spark, monkeypatch):
 
     taken = []
 
-    def watched(train, valid, rows, trees, loss="absolute", patience=50, refit=None):
-        taken.append((trees, patience))
+    def watched(train, valid, rows, trees, loss="absolute", patience=50, refit=None, step=0.03):
+        taken.append((trees, patience, step))
         return rows.withColumn("prediction", F.lit(0.0)), 1
 
     monkeypatch.setattr(models, "boosted", watched)
     queries._compared(spark, "/root/testdata/sf0.01")
     queries._target_variants(spark, "/root/testdata/sf0.01")
-    assert taken == [(1000, 50)] * 2 + [(300, 50)] * 3
+    assert taken == [(100, 5, 0.3)] * 2 + [(30, 5, 0.3)] * 3

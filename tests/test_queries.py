@@ -7,7 +7,7 @@ import pytest
 from barlight.plans import queries
 
 SF = "/root/testdata/sf0.01"
-QUICK = ["bars_clean", "quality_counts", "quality_gaps", "segments", "features_volume", "split_summary", "decile_spread", "monthly_ic", "position_summary", "holding_runs", "monitor_status"]
+QUICK = ["bars_clean", "bars_stored", "tail_metrics", "monitor_transitions", "quality_counts", "quality_gaps", "segments", "features_volume", "split_summary", "decile_spread", "monthly_ic", "position_summary", "holding_runs", "monitor_status"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month, safe_corr, with_ranks
 from barlight.operators.backtest import compounded
+from barlight.operators.ordered import Expanding
 from barlight.session import written
 
 WATCHED = ("prediction", "volatility_48", "volume_ratio_48", "return_12", "price_ma_ratio_48")
@@ -42,26 +43,42 @@ def psi(samples: DataFrame, by: list[str], bins: int = BINS) -> DataFrame:
     return edges.select(*by).join(found, by, "left")
 
 
-def monthly_psi(rows: DataFrame, columns: tuple[str, ...] = WATCHED) -> DataFrame:
-    """Each month but the first against all earlier ones: a `<column>_psi` each.
+def monthly_psi(rows: DataFrame, columns: tuple[str, ...] = WATCHED, bins: int = BINS) -> DataFrame:
+    """Each month but the first against all earlier ones, as `psi` does it: a `<column>_psi` each.
 
-    Rows are copied to the later months of their series by a join with its list of months; they
-    are written once before, as edges, counts and months all start from them.
+    Edges and counts of the earlier months come from blocks of values in order (`ordered.Expanding`), so
+    that a row is not copied to all later months; its own month's edges are joined to it once.
     """
-    rows = written(rows.select(KEY, "ts", *columns), "drift")
-    long = rows.select(KEY, month(F.col("ts")).alias("at"), *columns).unpivot(
-        [KEY, "at"], list(columns), "column", "value"
-    )
-    months = rows.select(KEY, month(F.col("ts")).alias("month")).distinct()
-    first = months.groupBy(KEY).agg(F.min("month").alias("first"))
-    months = months.join(first, KEY).filter("month > first").drop("first")
-    samples = long.join(months, KEY).filter("at <= month").withColumn("current", F.col("at") == F.col("month"))
-    # one exchange for the edges, the join with them and the counts: exact quantiles gain nothing
-    # from map-side maps of mostly distinct values
-    samples = samples.repartition(KEY, "month", "column")
-    found = psi(samples, [KEY, "month", "column"])
+    by = [KEY, "column"]
+    key = [*by, "month"]
+    rows = written(rows.select(KEY, month(F.col("ts")).alias("month"), *columns), "drift")
+    long = rows.unpivot([KEY, "month"], list(columns), "column", "value").filter("value is not null")
+    months = rows.select(KEY, F.col("month").alias("until")).distinct()
+    first = months.groupBy(KEY).agg(F.min("until").alias("first"))
+    later = months.join(first, KEY).filter("until > first").drop("first")
+    each = later.select(KEY, F.explode(F.array(*map(F.lit, columns))).alias("column"), "until")
+    before = Expanding(long, F.col("value"), by, F.col("month"), each)
+    edges = before.quantiles([i / bins for i in range(bins + 1)]).withColumn("q", F.array_distinct("q"))
+    inner = F.slice("q", 2, F.size("q") - 2)
+    edges = edges.filter(F.size("q") >= 3).select(*by, F.col("until").alias("month"), F.col("n").alias("all"), inner.alias("inner"))
+    edges = written(edges, "edges")
+    # earlier months: values under each edge, then the differences
+    bounds = edges.select(*by, F.col("month").alias("until"), F.posexplode("inner").alias("at", "bound"))
+    less = bounds.join(before.below(bounds.drop("at")), [*by, "until", "bound"]).select(*by, F.col("until").alias("month"), "at", "less")
+    last = edges.select(*key, F.size("inner").alias("at"), F.col("all").alias("less"))
+    order = Window.partitionBy(*key).orderBy("at")
+    earlier = less.unionByName(last).withColumn("r", F.col("less") - F.coalesce(F.lag("less").over(order), F.lit(0)))
+    # the month itself
+    at = F.size(F.filter("inner", lambda e: e <= F.col("value")))
+    own = long.join(edges, key).groupBy(*key, at.alias("at")).agg(F.count(F.lit(1)).alias("c"))
+    size = own.groupBy(*key).agg(F.sum("c").alias("held"))
+    shares = earlier.join(own, [*key, "at"], "left").join(size, key).join(edges.select(*key, "all"), key)
+    c = F.greatest(F.coalesce("c", F.lit(0)) / F.col("held"), F.lit(LEAST))
+    r = F.greatest(F.col("r") / F.col("all"), F.lit(LEAST))
+    found = shares.groupBy(*key).agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
     pivoted = found.groupBy(KEY, "month").pivot("column", list(columns)).agg(F.first("psi"))
-    return pivoted.select(KEY, "month", *[F.col(c).alias(f"{c}_psi") for c in columns])
+    out = later.withColumnRenamed("until", "month").join(pivoted, [KEY, "month"], "left")
+    return out.select(KEY, "month", *[F.col(c).alias(f"{c}_psi") for c in columns])
 
 
 def monthly_summary(rows: DataFrame) -> DataFrame:

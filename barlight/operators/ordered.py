@@ -104,3 +104,60 @@ def with_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
         placed = ordered_index(counts, [c], by=by, weight="__n")
         df = df.join(placed.select(*by, c, (F.col("rn") - (F.col("__n") - 1) / F.lit(2.0)).alias(f"{c}_rank")), [*by, c])
     return df
+
+
+class Expanding:
+    """What came before each of some periods, without copying rows to all later periods.
+
+    rows(by.., period, value) are numbered by value and cut into blocks of `block` rows. How many rows
+    of a block belong to periods before `until` is a small table; a wanted rank or bound lies in
+    one block, and only that block's rows are looked at. `untils` has by.. and `until`, which is
+    compared with `period`: a list per group that the calendar bounds. Null values are left out.
+    """
+
+    def __init__(self, rows: DataFrame, value: Column, by: list[str], period: Column, untils: DataFrame, block: int = 1024) -> None:
+        self.by, self.at = by, [*by, "until"]
+        values = rows.select(*by, period.alias("period"), value.alias("v")).filter("v is not null")
+        numbered = ordered_index(values, ["v"], by=by).withColumn("block", F.floor((F.col("rn") - 1) / block))
+        self.rows = written(numbered, "blocks")
+        blocks = self.rows.groupBy(*by, "block").agg(F.max("v").alias("high"))
+        lower = F.lag("high").over(Window.partitionBy(*by).orderBy("block"))
+        counts = self.rows.groupBy(*by, "block", "period").agg(F.count(F.lit(1)).alias("c"))
+        grid = blocks.withColumn("low", lower).join(untils.select(*self.at).distinct(), by)
+        held = grid.join(counts, [*by, "block"]).groupBy(*self.at, "block", "low", "high")
+        held = held.agg(F.coalesce(F.sum(F.when(F.col("period") < F.col("until"), F.col("c"))), F.lit(0)).alias("c"))
+        order = Window.partitionBy(*self.at).orderBy("block")
+        before = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+        self.blocks = written(held.withColumn("before", before), "grid")
+        self.sizes = self.blocks.groupBy(*self.at).agg(F.sum("c").alias("n"))
+
+    def _inside(self, wanted: DataFrame) -> DataFrame:
+        """Rows of earlier periods in the wanted blocks (by.., until, block, ..)."""
+        return self.rows.join(wanted, [*self.by, "block"]).filter(F.col("period") < F.col("until"))
+
+    def quantiles(self, points: list[float]) -> DataFrame:
+        """by.., until, n and q: exact quantiles (linear) of the n values of earlier periods; no row where n is 0."""
+        low = [F.floor((F.col("n") - 1) * F.lit(p)) + 1 for p in points]
+        ranks = F.array_distinct(F.array(*low, *[F.least(x + 1, F.col("n")) for x in low]))
+        here = F.filter(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("c")))
+        wanted = self.blocks.join(self.sizes, self.at).withColumn("ranks", here).filter(F.size("ranks") > 0)
+        wanted = wanted.select(*self.at, "block", "before", "ranks")
+        place = F.row_number().over(Window.partitionBy(*self.at, "block").orderBy("rn")) + F.col("before")
+        found = self._inside(wanted).withColumn("rank", place).filter(F.array_contains("ranks", F.col("rank")))
+        found = found.groupBy(*self.at).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
+        q = []
+        for p, x in zip(points, low, strict=True):
+            a, b = F.try_element_at("of", x), F.try_element_at("of", F.least(x + 1, F.col("n")))
+            q.append(a + (b - a) * ((F.col("n") - 1) * F.lit(p) + 1 - x))
+        return found.join(self.sizes, self.at).select(*self.at, "n", F.array(*q).alias("q"))
+
+    def below(self, bounds: DataFrame) -> DataFrame:
+        """bounds(by.., until, bound) with `less`, how many values of earlier periods are under the bound.
+
+        A bound must not be above the greatest value of all periods.
+        """
+        here = (F.col("low").isNull() | (F.col("bound") > F.col("low"))) & (F.col("bound") <= F.col("high"))
+        wanted = self.blocks.join(bounds, self.at).filter(here).select(*self.at, "block", "bound", "before")
+        inner = self._inside(wanted).groupBy(*self.at, "bound").agg(F.count_if(F.col("v") < F.col("bound")).alias("inner"))
+        out = wanted.join(inner, [*self.at, "bound"], "left")
+        return out.select(*self.at, "bound", (F.col("before") + F.coalesce("inner", F.lit(0))).alias("less"))

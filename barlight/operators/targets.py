@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month
 from barlight.operators.features import LABEL
-from barlight.operators.ordered import quantiles
+from barlight.operators.ordered import Expanding, quantiles
 
 
 def split_of(ts: Column, validation: str, test: str) -> Column:
@@ -55,25 +55,29 @@ def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 3
 
     Training ends a horizon before the month; the last `inner_days` before that end validate,
     and are themselves purged from what fits. Months without rows to predict are skipped; a
-    month with nothing to fit or validate on raises an error, or is left out with skip_empty.
+    month with nothing to fit or validate on raises an error, or is left out with skip_empty. Rows
+    are counted by month once, and these counts joined with later months; bounds come from blocks
+    of targets in order.
     """
-    begin = F.col("begin").cast("timestamp")
-    seconds = F.unix_seconds("ts")
-    month_at = F.unix_seconds(begin)
-    inner = month_at - inner_days * 86_400
-    months = fold_months(rows, start)
-    joined = rows.join(months, KEY).filter(F.col("ts") < F.add_months("begin", 1).cast("timestamp"))
-    roles = {
-        "fit_rows": seconds < inner - horizon_seconds,
-        "validation_rows": (seconds >= inner) & (seconds < month_at - horizon_seconds),
-        "train_rows": seconds < month_at - horizon_seconds,
-        "predict_rows": seconds >= month_at,
-    }
-    train = roles["train_rows"]
-    found = joined.groupBy(KEY, month(begin).alias("month")).agg(
-        *[F.count_if(c).alias(n) for n, c in roles.items()],
-        F.percentile(F.when(train, F.col("target")), [0.005, 0.995]).alias("q"),
+    inner, months = inner_days * 86_400, fold_months(rows, start)
+
+    def before(seconds: int) -> Column:
+        """The month whose next ones all begin more than so many seconds after a row."""
+        return F.trunc(F.timestamp_seconds(F.unix_seconds("ts") + seconds), "MM")
+
+    ends = {"fit_rows": inner + horizon_seconds, "train_rows": horizon_seconds, "older_rows": inner, "here": 0}
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), before(s).alias("period")) for k, s in ends.items()])).alias("t")
+    counts = rows.select(KEY, told).groupBy(KEY, "t.kind", "t.period").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.col("period") < F.col("begin")
+    found = counts.join(months, KEY).groupBy(KEY, "begin").agg(
+        *[F.coalesce(F.sum(F.when(earlier & (F.col("kind") == k), F.col("n"))), F.lit(0)).alias(k) for k in ends if k != "here"],
+        F.coalesce(F.sum(F.when((F.col("period") == F.col("begin")) & (F.col("kind") == "here"), F.col("n"))), F.lit(0)).alias("predict_rows"),
     )
+    found = found.withColumn("validation_rows", F.greatest(F.col("train_rows") - F.col("older_rows"), F.lit(0)))
+    untils = months.select(KEY, F.col("begin").alias("until"))
+    bounds = Expanding(rows, F.col("target"), [KEY], before(horizon_seconds), untils).quantiles([0.005, 0.995])
+    bounds = bounds.select(KEY, F.col("until").alias("begin"), "q")
+    found = found.join(bounds, [KEY, "begin"], "left").withColumn("month", month(F.col("begin").cast("timestamp")))
     if skip_empty:
         found = found.filter("fit_rows > 0 and validation_rows > 0")
     checked = F.when(

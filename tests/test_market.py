@@ -240,6 +240,45 @@ def test_quantiles_and_ranks_without_a_task_per_group(spark):
         assert mine.groupby("v").v_rank.nunique().max() == 1
 
 
+def test_expanding_quantiles_and_counts_by_blocks(spark):
+    rng = np.random.default_rng(17)
+    rows = [(k, int(p), float(v)) for k, n in (("a", 300), ("b", 9)) for p, v in zip(rng.integers(0, 6, n), rng.integers(0, 40, n), strict=True)] + [("a", 0, None)]
+    frame = spark.createDataFrame(rows, f"{KEY} string, p int, v double").repartition(3)
+    untils = spark.createDataFrame([(k, u) for k in ("a", "b") for u in range(8)], f"{KEY} string, until int")
+    points = [0.0, 0.1, 0.5, 0.995, 1.0]
+    bounds = [0.0, 3.5, 17.0, 30.0]
+    for block in (1, 7, 1000):
+        before = ordered.Expanding(frame, F.col("v"), [KEY], F.col("p"), untils, block)
+        got = {(r[KEY], r.until): r for r in before.quantiles(points).collect()}
+        wanted = untils.filter(f"{KEY} = 'a'").withColumn("bound", F.explode(F.array(*map(F.lit, bounds))))
+        less = {(r.until, r.bound): r.less for r in before.below(wanted).collect()}
+        for k in ("a", "b"):
+            for u in range(8):
+                values = np.array([v for s, p, v in rows if s == k and p < u and v is not None])
+                assert ((k, u) in got) == bool(len(values))
+                if len(values):
+                    assert got[k, u].n == len(values)
+                    np.testing.assert_allclose(got[k, u].q, np.quantile(values, points), atol=1e-12)
+                if k == "a":
+                    assert [less[u, b] for b in bounds] == [int((values < b).sum()) for b in bounds]
+
+
+def test_monthly_psi_is_that_of_copied_rows(spark):
+    rng = np.random.default_rng(18)
+    n = 240
+    rows = [("a", START + timedelta(days=i), float(rng.integers(0, 30)), float(rng.normal()), 1.0, None if i % 3 else 2.0) for i in range(n)]
+    frame = spark.createDataFrame(rows, f"{KEY} string, ts timestamp, x double, y double, one double, few double")
+    got = {r.month: r for r in drift.monthly_psi(frame, ("x", "y", "one", "few")).collect()}
+    table = frame.toPandas()
+    table["month"] = table.ts.dt.strftime("%Y-%m")
+    assert sorted(got) == sorted(table.month.unique())[1:]
+    copies = [(m, c, float(v), at == m) for m in got for c in ("x", "y") for at, v in zip(table.month, table[c], strict=True) if at <= m]
+    want = drift.psi(spark.createDataFrame(copies, "month string, column string, value double, current boolean"), ["month", "column"])
+    for r in want.collect():
+        assert abs(got[r.month][f"{r.column}_psi"] - r.psi) < 1e-9
+    assert all(r.one_psi is None and r.few_psi is None for r in got.values())
+
+
 def test_missing_times_that_repeat_are_duplicates(spark):
     rows = [("a", t, 1.0, 1.0, 1.0, 1.0, 1.0) for t in (START, START, None, None, None)] + [("b", None, 1.0, 1.0, 1.0, 1.0, 1.0)]
     got = {r[KEY]: r.duplicate_ts for r in validate.counts(spark.createDataFrame(rows, sources.BARS)).collect()}

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from barlight.session import removed, written, written_at
+
 K = 128
 WORDS = 5
 #: Hashes keep their upper 48 bits: written as twelve hex digits, in order of size.
 BITS = 48
-KNOTS = 128
+#: A bucket of neighbours holds some BUCKET_ROWS rows; larger groups are split FAN ways, again and
+#: again for up to LEVELS times: some FAN ** LEVELS buckets, two million, beyond which they grow.
 BUCKET_ROWS = 1500
-MOST_BUCKETS = 1_000_000
+FAN = 128
+LEVELS = 3
+LEAST = -(1 << 63)
 
 
 def hashes(text: Column, words: int = WORDS) -> Column:
@@ -85,35 +90,53 @@ def from_text(s: Column) -> Column:
     return F.transform(at, lambda i: F.conv(F.substr(s, (i - 1) * (BITS // 4) + 1, F.lit(BITS // 4)), 16, 10).cast("long"))
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """docs with __bucket, ascending with doc_id and holding some BUCKET_ROWS rows each.
+def _within(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """rows(__key, __tie, __bucket) in the finer buckets of a table of knots, which is sent to all tasks.
+
+    It has a row of less than 2 FAN numbers for each bucket above BUCKET_ROWS rows, of no numbers
+    for others: (2 FAN) ** (LEVELS - 1) rows at most.
+    """
+    value = F.when(F.col("__by_tie"), F.col("__tie")).otherwise(F.col("__key"))
+    at = F.size(F.filter("__knots", lambda k: k <= F.col("__value")))
+    finer = rows.join(F.broadcast(split), "__bucket").withColumn("__value", value)
+    return finer.withColumn("__bucket", F.col("__bucket") * (2 * FAN) + at).drop("__knots", "__by_tie", "__value")
+
+
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) with __key, __tie and __bucket, ascending with both and of some BUCKET_ROWS rows each.
 
-    Quantiles of the ids at KNOTS points are exact to 1e-4 of the rows; between them buckets have
-    equal widths. Null ids count as smallest.
+    Also these three columns alone, as a table. Bounds are quantiles of the ids, or of the ties where
+    a group has one id only, taken group by group until all are small; the steps are the same for
+    a table of any size. Null ids count as smallest. The tie is a hash of the text: rows that repeat
+    id and text stay together.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    q = [(i + 1) / KNOTS for i in range(KNOTS - 1)]
-    row = docs.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("doc_id", q, 10_000).alias("q"),
-        F.min("doc_id").alias("low"),
-        F.max("doc_id").alias("high"),
-    ).first()
-    wanted = max(1, min(MOST_BUCKETS, row["n"] // BUCKET_ROWS))
-    if row["low"] is None or wanted == 1:
-        return docs.withColumn("__bucket", F.lit(0).cast("long"))
-    knots = sorted({row["low"], *row["q"], row["high"] + 1})
-    each = max(1, round(wanted / (len(knots) - 1)))
-
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            begin, end = knots[low], knots[low + 1]
-            inside = F.floor((key.cast("double") - float(begin)) / float(end - begin) * each)
-            return F.lit(low * each).cast("long") + F.greatest(F.lit(0), F.least(F.lit(each - 1), inside)).cast("long")
-        middle = (low + high + 1) // 2
-        return F.when(key < knots[middle], pick(low, middle - 1)).otherwise(pick(middle, high))
-
-    return docs.withColumn("__bucket", pick(0, len(knots) - 2))
+    keyed = docs.withColumns(
+        {"__key": F.coalesce("doc_id", F.lit(LEAST)), "__tie": F.xxhash64("text"), "__bucket": F.lit(0).cast("long")}
+    )
+    keys, path = written_at(keyed.select("__key", "__tie", "__bucket"), "keys")
+    q = [(i + 1) / FAN for i in range(FAN - 1)]
+    for _ in range(LEVELS):
+        groups = keys.groupBy("__bucket").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("__key").alias("low"),
+            (F.min("__key") == F.max("__key")).alias("__by_tie"),
+            F.percentile_approx("__key", q, 10_000).alias("k"),
+            F.percentile_approx("__tie", q, 10_000).alias("t"),
+        )
+        # every s-th knot, for buckets of the wanted size
+        s = F.greatest(F.lit(1), F.floor(F.lit(FAN * BUCKET_ROWS) / F.col("n")))
+        knots = F.filter(F.when(F.col("__by_tie"), F.col("t")).otherwise(F.col("k")), lambda x, i: (i + 1) % s == 0)
+        groups = groups.select("__bucket", "__by_tie", "low", "n", knots.alias("knots"))
+        # an id that fills a bucket by itself also ends there
+        own = F.filter("knots", lambda x, i: (x == F.get("knots", i - 1)) | ((x == F.col("low")) & ~F.col("__by_tie")))
+        own = F.transform(own, lambda x: x + 1)
+        none = F.array().cast("array<bigint>")
+        knots = F.when(F.col("n") > BUCKET_ROWS, F.array_union("knots", own)).otherwise(none)
+        split = written(groups.select("__bucket", "__by_tie", knots.alias("__knots")), "knots")
+        keyed, before = _within(keyed, split), path
+        keys, path = written_at(_within(keys, split), "keys")
+        removed(docs.sparkSession, before)
+    return keyed, keys
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
@@ -121,29 +144,23 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
 
     The next document has the next smaller id; after the smallest comes the greatest. The first
     row of each bucket is also sent to the bucket before it (column __ghost), so neighbours
-    meet without a global order; repeated ids follow each other by text. Bucket bounds are a
-    broadcast table of at most MOST_BUCKETS rows of three numbers.
+    meet without a global order; documents that share an id follow each other by a hash of the text.
+    Bucket bounds are a broadcast table of four numbers a bucket.
     """
-    placed = _bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    placed, keys = _bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     up = Window.orderBy("__bucket")  # over the buckets, not over rows
     heads = (
-        placed.groupBy("__bucket")
-        .agg(F.max(key).alias("__head"))
+        keys.groupBy("__bucket")
+        .agg(F.max("__key").alias("__head"), F.max_by("__tie", F.struct("__key", "__tie")).alias("__head_tie"))
         .withColumn("__to", F.coalesce(F.lead("__bucket").over(up), F.min("__bucket").over(up)))
     )
     own = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("g"))
     ghost = F.struct(F.col("__to").alias("b"), F.lit(1).alias("g"))
-    copies = F.when(key == F.col("__head"), F.array(own, ghost)).otherwise(F.array(own))
-    sent = placed.join(F.broadcast(heads), "__bucket").select("doc_id", "text", F.explode(copies).alias("c"))
-    window = Window.partitionBy("__bucket").orderBy("__ghost", F.col("doc_id").desc_nulls_last(), "__tie")
-    return sent.select(
-        "doc_id",
-        "text",
-        F.xxhash64("text").alias("__tie"),
-        F.col("c.b").alias("__bucket"),
-        F.col("c.g").alias("__ghost"),
-    ), window
+    first = (F.col("__key") == F.col("__head")) & (F.col("__tie") == F.col("__head_tie"))
+    copies = F.when(first, F.array(own, ghost)).otherwise(F.array(own))
+    sent = placed.join(F.broadcast(heads), "__bucket").select("doc_id", "text", "__key", "__tie", F.explode(copies).alias("c"))
+    window = Window.partitionBy("__bucket").orderBy("__ghost", F.desc("__key"), F.desc("__tie"))
+    return sent.select("doc_id", "text", "__key", "__tie", F.col("c.b").alias("__bucket"), F.col("c.g").alias("__ghost")), window
 
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
@@ -163,6 +180,7 @@ def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
         "doc_id",
         "__bucket",
         "__ghost",
+        "__key",
         "__tie",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),

@@ -280,23 +280,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_classes(
-    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL
-) -> DataFrame:
-    """A row per document of docs(doc_id, text): class_id, links, copies, tag and class_key.
-
-    Documents are linked when the Jaccard likeness of their sets of `words`-word runs is at least
-    `similarity`; links counts the documents linked to this one, copies included, class_id is
-    the least doc_id of the connected class, copies how many documents have this n-gram set, tag a
-    hash of the text, class_key the class's own name, which tells classes of null ids apart. Copies
-    are joined once, as one set. Texts of fewer words are one run; texts without words (null and
-    empty ones too) are alike only if equal. Rows with null or repeated ids count as documents
-    of their own; a class of null ids has a null class_id. An empty table gives no rows.
+def _solved(docs: DataFrame, similarity: float, words: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, tag, key), and their n-gram sets with class, links, copies and least document.
 
-    Only documents in a shared band bucket are compared, in pairs of bounded blocks of a bucket, and
-    only counts and a spanning forest leave a task: no list of pairs is made, whatever the size
-    of a group. Buckets with the same members are compared once. A bucket of m different sets costs
-    m^2 / 2 comparisons, as links are exact; each set goes to m / BLOCK_MEMBERS tasks.
+    Both are tables in the shared folder, so that a join of a much copied set with its documents is of
+    plain exchanges, of which AQE splits the large partitions.
     """
     bands, rows = banding(similarity, recall)
     known = written(signatures(docs, bands, rows, words), "signatures")
@@ -352,22 +340,53 @@ def jaccard_classes(
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     labels = components(found)
     classes = (
-        node.select("key", "rep", "copies")
+        node.select("key", "doc_id", "tag", "rep", "copies")
         .join(links, "key", "left")
         .join(labels, "key", "left")
-        .select("key", "rep", "copies", "links", F.coalesce("label", "key").alias("label"))
+        .select("key", "doc_id", "tag", "rep", "copies", "links", F.coalesce("label", "key").alias("label"))
     )
     least = classes.join(labels.select("label").distinct(), "label", "left_semi")
     least = least.groupBy("label").agg(F.min("rep").alias("class_rep"))
     classes = classes.join(least, "label", "left").select(
         "key",
+        F.struct("doc_id", "tag").alias("least"),
         F.coalesce("class_rep", "rep").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         "copies",
         F.col("label").alias("class_key"),
     )
-    each = known.select("doc_id", "tag", "key").join(classes, "key")
-    return each.select("doc_id", "class_id", "links", "copies", "tag", "class_key")
+    return known.select("doc_id", "tag", "key"), written(classes, "classes")
+
+
+def jaccard_classes(
+    docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL
+) -> DataFrame:
+    """A row per document of docs(doc_id, text): class_id, links, copies, tag and class_key.
+
+    Documents are linked when the Jaccard likeness of their sets of `words`-word runs is at least
+    `similarity`; links counts the documents linked to this one, copies included, class_id is
+    the least doc_id of the connected class, copies how many documents have this n-gram set, tag a
+    hash of the text, class_key the class's own name, which tells classes of null ids apart. Copies
+    are joined once, as one set. Texts of fewer words are one run; texts without words (null and
+    empty ones too) are alike only if equal. Rows with null or repeated ids count as documents
+    of their own; a class of null ids has a null class_id. An empty table gives no rows.
+
+    Only documents in a shared band bucket are compared, in pairs of bounded blocks of a bucket, and
+    only counts and a spanning forest leave a task: no list of pairs is made, whatever the size
+    of a group. Buckets with the same members are compared once. A bucket of m different sets costs
+    m^2 / 2 comparisons, as links are exact; each set goes to m / BLOCK_MEMBERS tasks.
+    """
+    known, classes = _solved(docs, similarity, words, recall)
+    return known.join(classes, "key").select("doc_id", "class_id", "links", "copies", "tag", "class_key")
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """doc_id and tag (a hash of the text) of the least document of each class of near copies, nulls least.
+
+    Classes are those of jaccard_classes; they are taken from n-gram sets, not from all documents.
+    """
+    classes = _solved(docs, similarity, words, recall)[1]
+    return classes.groupBy("class_key").agg(F.min("least").alias("least")).select("least.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm.common import free_name, one_row_each, removed, shared_dir
-from barlight.llm.jaccard import jaccard_classes
+from barlight.llm.jaccard import representatives
 from barlight.llm.mixing import LEVELS, WEIGHTS, domain_of, mix, mixed_documents
 from barlight.llm.packing import digest, pack_documents
 from barlight.llm.substrings import without_repeats
@@ -42,8 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         values = (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), tag)
         return [v.alias(n) for v, n in zip(values, names, strict=True)]
 
-    least = jaccard_classes(docs).groupBy("class_key").agg(F.min(F.struct("doc_id", "tag")).alias("least"))
-    kept = least.select(*key(F.col("least.doc_id"), F.col("least.tag")))
+    kept = representatives(docs).select(*key(F.col("doc_id"), F.col("tag")))
     # one row for each id and text, then a join in the same partitioning
     one = one_row_each(docs.select("*", *key(F.col("doc_id"), F.xxhash64("text"))), names)
     return one.join(kept, names, "left_semi").select(*columns(docs))

@@ -139,23 +139,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Remembered(dict):
     """A dict that computes what it lacks and keeps it, up to some bytes; long keys aren't kept.
 
-    Forgets all when `trimmed` finds it over its bound: callers ask between texts.
+    Keys that come often come early, so a full one keeps what it has and only computes the rest.
+    When these have become many, `trimmed` forgets all and starts anew: callers ask between texts.
     """
 
     def __init__(self, compute: Callable[[str], object], most_bytes: int, each: int = 200, longest: int = 64) -> None:
         super().__init__()
         self.compute, self.longest = compute, longest
         self.limit = max(1, most_bytes // each)
+        self.passed = 0
 
     def __missing__(self, key: str) -> object:
         value = self.compute(key)
-        if len(key) <= self.longest:
+        if len(self) < self.limit and len(key) <= self.longest:
             self[key] = value
+        else:
+            self.passed += 1
         return value
 
     def trimmed(self) -> None:
-        if len(self) > self.limit:
+        if self.passed > 4 * self.limit:
             self.clear()
+            self.passed = 0
 
 
 def word_hash(word: str) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 
@@ -20,6 +21,7 @@ def default_tokenizer() -> str:
 #: Fixed values of the tokenizer file: its split pattern, written out for Latin-1 in lower case.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
 LATIN = re.compile(r"[!-~\xa1-\xff]*")
+SIGNS = frozenset(",.;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,7 +41,7 @@ class Encoder:
     takes some `most_bytes`, and `forget` drops it.
     """
 
-    def __init__(self, path: str, end_id: int = 1, most_bytes: int = 96 << 20) -> None:
+    def __init__(self, path: str, end_id: int = 1, most_bytes: int = 144 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,9 +60,14 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        found = self.model.tokenize(shown)
+        return pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _part(self, part: str) -> bytes:
+        # most parts: a word of letters, with a sign after it or without
+        word = part[:-1] if part[-1:] in SIGNS else part
+        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+            return self.pieces[word.lower()] + (self.pieces[part[-1]] if word is not part else b"")
         if LATIN.fullmatch(part) and not ("<" in part and any(s in part for s in self.special)):
             return b"".join(map(self.pieces.__getitem__, SPLIT.findall(part.lower())))
         return self.plain(part)

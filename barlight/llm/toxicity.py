@@ -144,8 +144,9 @@ class Reader:
 
     def __call__(self, text: str | None) -> list[float]:
         tokens = text.split() if text else []
-        if len(self.known) > self.known.limit or self.size > self.known.limit:
+        if self.known.passed > 4 * self.known.limit or self.size > self.known.limit:
             self.known.clear()
+            self.known.passed = 0
             self.shapes.clear()
             self.size = 0
         at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))  # may let the table grow

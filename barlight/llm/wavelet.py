@@ -92,8 +92,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = self.planes[level].bits
             up = np.empty_like(out)
-            up[~ones] = out[: self.zeros[level]]
-            up[ones] = out[self.zeros[level] :] | out.dtype.type(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~ones)] = out[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = out[self.zeros[level] :] | out.dtype.type(1 << (len(self.planes) - 1 - level))
             out = up
         return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import fingerprints, jaccard, langid, media, mixing, packing, quality, substrings, toxicity, wavelet
+from barlight.llm import fingerprints, jaccard, langid, media, mixing, packing, quality, runs, substrings, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_media": media.op10_media,
+    "op11_runs": runs.op11_runs,
 }
 
-ORACLES: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}
+ORACLES: dict[str, str] = {"op8_mixing": mixing.oracle_sql(), "op11_runs": runs.oracle_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlight.llm import fingerprints, jaccard, langid, media, mixing, packing, quality, runs, substrings, toxicity, wavelet
+from barlight.llm import fingerprints, jaccard, langid, manifest, media, metric, mixing, packing, quality, runs, substrings, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_media": media.op10_media,
     "op11_runs": runs.op11_runs,
+    "op12_range_join": metric.op12_range_join,
+    "op13_manifest": manifest.op13_manifest,
 }
 
-ORACLES: dict[str, str] = {"op8_mixing": mixing.oracle_sql(), "op11_runs": runs.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.oracle_sql(),
+    "op11_runs": runs.oracle_sql(),
+    "op12_range_join": metric.oracle_sql(),
+    "op13_manifest": manifest.oracle_sql(),
+}

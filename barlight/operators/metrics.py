@@ -41,7 +41,7 @@ def rank_ic(rows: DataFrame, by: list[str], small: bool = False) -> DataFrame:
 
 def with_decile(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """rows with `bin`, the quantile bin of the prediction's rank (ties by time): bin k holds ranks up to 1+(n-1)(k+1)/bins."""
-    numbered = ordered.with_size(ordered.ordered_index(rows, [P, "ts"], by=by), by)
+    numbered = ordered.ordered_index(rows, [P, "ts"], by=by, size="n")
     r, n = F.col("rn"), F.col("n")
     at = F.when(n > 1, F.floor((bins * (r - 1) + n - 2) / F.greatest(n - 1, F.lit(1))) - 1).otherwise(0)
     return numbered.withColumn("bin", F.greatest(at, F.lit(0)).cast("int")).drop("rn", "n")

@@ -14,9 +14,14 @@ CHUNK = 100_000
 
 
 def ordered_index(
-    df: DataFrame, order: list[str | Column], partitions: int | None = None, by: list[str] | None = None, weight: str | None = None
+    df: DataFrame,
+    order: list[str | Column],
+    partitions: int | None = None,
+    by: list[str] | None = None,
+    weight: str | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """df with `rn`, the row number from 1 within `by`, without a task per group.
+    """df with `rn`, the row number from 1 within `by`, without a task per group; with `size`, a column of the group's number of rows, too.
 
     Rows are range-partitioned by group and order; each range counts its rows, and the counts before
     it (one row a range and group) are added to numbers inside the range. With `weight`, a
@@ -30,7 +35,8 @@ def ordered_index(
     one = F.col(weight) if weight else F.lit(1)
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = spread.groupBy(*by, "__part").agg(F.sum(one).alias("__n"))
-    offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    whole = [F.sum("__n").over(Window.partitionBy(*by)).alias(size)] if size else []
+    offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), *whole)
     inside = F.sum(one).over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return (
         spread.withColumn("__inside", inside)
@@ -78,15 +84,10 @@ def running_max(df: DataFrame, value: Column, name: str, chunk: int = CHUNK, by:
     return running(df, {name: (F.max, value)}, {name: lambda a, b: F.greatest(a, b)}, chunk, by)
 
 
-def with_size(numbered: DataFrame, by: list[str]) -> DataFrame:
-    """Numbered rows with `n`, the size of their group: a row a group is joined."""
-    return numbered.join(numbered.groupBy(*by).agg(F.max("rn").alias("n")), by)
-
-
 def quantiles(df: DataFrame, value: Column, by: list[str], points: dict[str, float]) -> DataFrame:
     """A row per group with exact quantiles (linear) of `value`, nulls left out."""
     values = df.select(*by, value.alias("__v")).filter("__v is not null")
-    rows = with_size(ordered_index(values, ["__v"], by=by), by)
+    rows = ordered_index(values, ["__v"], by=by, size="n")
     out = []
     for name, q in points.items():
         at = (F.col("n") - 1) * F.lit(q)

@@ -16,7 +16,7 @@ from barlight.session import ship
 
 COSINE = 0.98
 #: A cell with more vectors of its own is cut by pivots, one for so many vectors, at most PIVOTS at a time.
-CELL, PER_PIVOT, PIVOTS = 512, 128, 64
+CELL, PER_PIVOT, PIVOTS = 1024, 256, 64
 #: Pivots are taken from about so many vectors of a cell, which also tell whether they cut it well: to GAIN of the pairs or less.
 SAMPLE, GAIN = 1024, 0.9
 #: Rows of a cell that one task cuts; vectors of a block that is compared with another; rounds of cuts.
@@ -102,25 +102,29 @@ def one_way(own: np.ndarray, k: int) -> np.ndarray:
 
 
 def _pivots(sample: DataFrame, dtype: str, reach: float) -> DataFrame:
-    """cell, pivots, salts for the cells (cell, vec, homes, members) that pivots cut well, from a sample of each."""
+    """cell, pivots, salts for the cells that pivots cut well, from a sample of each (cell, vec, home, homes, members)."""
 
     def choose(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
         at, rows = None, []
 
         def chosen() -> dict[str, list]:
-            x = units([r[0] for r in rows], dtype)
-            homes, members = rows[0][1:]
-            k = min(PIVOTS, max(2, -(-homes // PER_PIVOT)), len(x))
-            p = far_apart(x, k)
+            x, at_home = units([r[0] for r in rows], dtype), np.array([r[1] for r in rows])
+            homes, members = rows[0][2:]
+            k = min(PIVOTS, max(2, -(-homes // PER_PIVOT)), int(at_home.sum()))
+            none: dict[str, list] = {"cell": [], "pivots": [], "salts": []}
+            if k < 2:
+                return none
+            p = far_apart(x[at_home], k)
             own, may = visits(x, p, reach)
-            home = np.bincount(own, minlength=k) / len(x)
-            guests = (may & one_way(own, k)).sum(axis=0) / len(x)
-            if 2 * (home * (home / 2 + guests)).sum() > GAIN:
-                return {"cell": [], "pivots": [], "salts": []}
+            # pairs to compare after the cut, those of guests too, against those before
+            home = np.bincount(own[at_home], minlength=k)
+            guests = (may & (one_way(own, k) | ~at_home[:, None])).sum(axis=0) + np.bincount(own[~at_home], minlength=k)
+            if (home * (home / 2 + guests)).sum() > GAIN * at_home.sum() * (len(x) - at_home.sum() / 2):
+                return none
             return {"cell": [at], "pivots": [p.astype("<f8").tobytes()], "salts": [-(-members // SALT_ROWS)]}
 
         for b in batches:
-            for cell, *row in zip(b["cell"], b["vec"], b["homes"], b["members"], strict=True):
+            for cell, *row in zip(b["cell"], b["vec"], b["home"], b["homes"], b["members"], strict=True):
                 if cell != at and rows:
                     yield chosen()
                     rows = []
@@ -129,7 +133,7 @@ def _pivots(sample: DataFrame, dtype: str, reach: float) -> DataFrame:
         if rows:
             yield chosen()
 
-    given = sample.select("cell", "vec", "homes", "members").repartition("cell").sortWithinPartitions("cell", "vec")
+    given = sample.select("cell", "vec", "home", "homes", "members").repartition("cell").sortWithinPartitions("cell", "vec")
     return arrow_map(given, choose, "cell string, pivots binary, salts int")
 
 
@@ -187,7 +191,7 @@ def cells(nodes: DataFrame, dtype: str, reach: float) -> DataFrame:
     for depth in range(ROUNDS):
         sizes = members.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("members"))
         large = sizes.filter(F.col("homes") > CELL)
-        sample = members.filter("home").join(large, "cell").filter(F.pmod(F.xxhash64("node", F.lit(depth)), F.col("homes")) < SAMPLE)
+        sample = members.join(large, "cell").filter(F.pmod(F.xxhash64("node", F.lit(depth)), F.col("members")) < SAMPLE)
         pivots = written(_pivots(sample, dtype, reach), "pivots")
         if pivots.isEmpty():
             break

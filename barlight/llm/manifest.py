@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.llm.common import written
 from barlight.llm.runs import CRC32
-from barlight.operators.ordered import ordered_index, with_size
+from barlight.operators.ordered import ordered_index
 
 #: Children of a node, and levels that are built in one pass over chunks of WIDTH ** LEVELS nodes.
 WIDTH = 3
@@ -37,7 +37,7 @@ class Trees:
 
     def __init__(self, nodes: DataFrame, by: list[str], order: list[str | Column]) -> None:
         self.by = by
-        numbered = with_size(ordered_index(nodes, order, by=by), by).withColumn("i", F.col("rn") - 1).drop("rn")
+        numbered = ordered_index(nodes, order, by=by, size="n").withColumn("i", F.col("rn") - 1).drop("rn")
         self.passes = [written(self._climbed(numbered), "tree")]
         while True:
             last = self.passes[-1]

@@ -1,27 +1,23 @@
-"""Baselines, ridge by moments, and boosted trees on Spark ML with early stopping."""
+"""Baselines, ridge by moments, and models of boosted trees."""
 
 from __future__ import annotations
 
 import math
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month
 from barlight.operators import targets
-from barlight.operators.features import FEATURES
+from barlight.operators.boosting import STEP, Boosted, Job, Trees, grow
+from barlight.operators.features import FEATURES, LABEL
 from barlight.operators.metrics import decile_spread, monthly_ic, rank_ic, scores, tail_metrics, trimmed_ic, winner_removal
 from barlight.session import shared_dir, written
 
 #: Trees are many small jobs, so a fit's cached rows are read by tasks of at least so many.
 TASK_ROWS = 20_000
-#: Learning rate of the trees.
-STEP = 0.03
 
 
 def zero(rows: DataFrame) -> DataFrame:
@@ -68,79 +64,37 @@ def assembled(rows: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return rows if "__x" in rows.columns else VectorAssembler(inputCols=columns, outputCol="__x").transform(rows)
 
 
-def _trees(trees: int, loss: str, seed: int, step: float = STEP) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="__x",
-        labelCol="target",
-        predictionCol="prediction",
-        lossType=loss,
-        stepSize=step,
-        maxDepth=5,
-        maxIter=trees,
-        featureSubsetStrategy="0.8",
-        seed=seed,
-    )
+def prepared(rows: DataFrame, keep: list[str], columns: list[str] = FEATURES) -> DataFrame:
+    """The columns `keep` and the features as a vector, written once: every stage of all fits reads them in tasks of at least TASK_ROWS rows."""
+    table = written(assembled(rows, columns).select(*keep, "__x"), "vectors")
+    return table.coalesce(max(1, math.ceil(table.count() / TASK_ROWS)))
 
 
-def best_iteration(model: GBTRegressionModel, valid: DataFrame, loss: str, patience: int = 50) -> int:
-    """Number of trees after which validation loss did not fall for `patience` more."""
-    errors = model.evaluateEachIteration(valid, loss)
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
+def boosted(
+    rows: DataFrame, jobs: dict[str, Job], keep: list[str], patience: int = 50, step: float = STEP, trees: Trees | None = None
+) -> tuple[DataFrame, dict[str, Boosted]]:
+    """rows' columns `keep` with a prediction of each job (a column of its name), and the models, all fitted in step.
 
+    The jobs' filters and targets are of columns in `keep`.
+    """
+    shared_dir(rows.sparkSession, "trees")  # sees to a folder for what stages write
+    found, models = grow(prepared(rows, keep), jobs, patience, step, trees)
+    return found.drop("__x"), models
 
-def searched(train: DataFrame, valid: DataFrame, trees: int, loss: str = "absolute", patience: int = 50, step: float = STEP) -> tuple[GBTRegressionModel, int]:
-    """Trees fitted on train, and the number of them that patience chooses on valid, of `trees` at most.
 
-    A fit of fewer trees is the beginning of one of more (tree m has seed + m). So twice the patience
-    is tried first, and twice as many again until patience ends the search: the result is that of
-    all trees, at a cost of some two to four times the trees that the search looks at.
-    """
-    limit = min(trees, 2 * patience)
-    while True:
-        model = _trees(limit, loss, 1, step).fit(train)
-        best = best_iteration(model, valid, loss, patience)
-        if limit == trees or limit - best >= patience:
-            return model, best
-        limit = min(trees, 2 * limit)
-
-
-def _cached(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vectors and targets: as cached, and in tasks of at least TASK_ROWS rows."""
-    held = assembled(rows).select("__x", "target").cache()
-    return held, held.coalesce(max(1, math.ceil(held.count() / TASK_ROWS)))
-
-
-def boosted(train: DataFrame, valid: DataFrame, rows: DataFrame, trees: int, loss: str = "absolute", patience: int = 50, refit: DataFrame | None = None, step: float = STEP) -> tuple[DataFrame, int]:
-    """rows with predictions of trees stopped early on valid, refitted on `refit` where given."""
-    shared_dir(rows.sparkSession, "trees")  # sees to a checkpoint folder, which cuts the lineage of many trees
-    held = [_cached(part) for part in (train, valid) + ((refit,) if refit is not None else ())]
-    parts = [part for _, part in held]
-    model, best = searched(parts[0], parts[1], trees, loss, patience, step)
-    if refit is not None or best < model.getNumTrees:
-        model = _trees(best, loss, 1, step).fit(parts[0] if refit is None else parts[2])
-    for cached, _ in held:
-        cached.unpersist()
-    return model.transform(assembled(rows)).drop("__x"), best
-
-
-def comparison(train: DataFrame, valid: DataFrame, losses: dict[str, str], trees: int, patience: int = 50, step: float = STEP) -> DataFrame:
-    """Predictions on valid of a model per loss, rows tagged with `model`, written once.
-
-    Names that share a loss share its model. Spark's trees have no Huber loss; with alpha 0.9 it is
-    squared loss as long as no residual exceeds that, so "huber" is given as a name of "squared".
-    """
-    out = None
-    for loss in dict.fromkeys(losses.values()):
-        names = F.array(*[F.lit(n) for n, x in losses.items() if x == loss])
-        found = boosted(train, valid, valid, trees, loss, patience, step=step)[0].withColumn("model", F.explode(names))
-        out = found if out is None else out.unionByName(found)
-    return written(out, "compared")
+def tagged(found: DataFrame, names: list[str]) -> DataFrame:
+    """A row per row and model: `prediction` of each named column, tagged with `model`."""
+    each = F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("prediction")) for n in names])
+    return found.withColumn("__each", F.explode(each)).select(*[c for c in found.columns if c not in names], "__each.*")
+
+
+def comparison(
+    rows: DataFrame, fit: Column, valid: Column, losses: dict[str, str], trees: int, patience: int = 50, step: float = STEP, keep: tuple[str, ...] = (LABEL,)
+) -> DataFrame:
+    """Predictions of `target` on the valid rows by a model per loss (squared, absolute or huber), rows tagged with `model`."""
+    jobs = {name: Job(fit, "target", loss, trees, valid) for name, loss in losses.items()}
+    found, _ = boosted(rows, jobs, [KEY, "ts", "target", *keep], patience, step)
+    return tagged(found.filter(valid), list(jobs))
 
 
 def model_scores(predicted: DataFrame) -> DataFrame:
@@ -183,6 +137,7 @@ def walkforward(
     clip: tuple[float, float] = (0.005, 0.995),
     patience: int = 50,
     step: float = STEP,
+    loss: str = "absolute",
 ) -> DataFrame:
     """Predictions of each month by trees fitted on the purged past; folds are filters on one table.
 
@@ -190,10 +145,10 @@ def walkforward(
     Targets are clipped to quantiles of their series: in the search to those of the rows that it fits
     on, in the refit to those of all purged rows before the month, which `targets.folds` lists too.
     Months without rows to predict are skipped; a month with nothing to fit or validate on raises
-    an error, or is left out with skip_empty. The table is written once, and `parallel` folds run
-    at a time, as their jobs are small.
+    an error, or is left out with skip_empty. `parallel` folds go on in step over one cached table, which
+    has the features once, and a target and a prediction of each of these folds.
     """
-    rows = written(assembled(rows).select(KEY, "ts", "__x", "target"), "folds")
+    rows = prepared(rows, [KEY, "ts", "target"])
     seconds = F.unix_seconds("ts")
     folds = {}
     for at in months:
@@ -209,21 +164,32 @@ def walkforward(
             used.append(at)
         elif here and not skip_empty:
             raise ValueError(f"empty fold {at}")
-
-    def one(at: str) -> DataFrame:
-        fit, valid, train, here = folds[at]
-        inner = targets.clipped(rows, fit, clip, [KEY])
-        refit = targets.clipped(rows, train, clip, [KEY]).filter(train)
-        found, best = boosted(inner.filter(fit), inner.filter(valid), rows.filter(here), trees, patience=patience, refit=refit, step=step)
-        return found.select(KEY, "ts", "prediction", F.lit(at).alias("prediction_month"), F.lit(best).alias("best_iteration"))
-
     if not used:
         raise ValueError("no months to predict")
-    with ThreadPool(min(parallel, len(used))) as pool:
-        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one), used, 1)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    used.sort()
+    purged = {"fit": inner_days * 86_400 + horizon_seconds, "all": horizon_seconds}
+    bounds = {kind: written(targets.past_bounds(rows, used, before, clip), "bounds") for kind, before in purged.items()}
+
+    def with_targets(group: list[str], kind: str) -> DataFrame:
+        """Rows up to the last month of a group, with a target clipped for each of its folds: a row of bounds a series is joined."""
+        here = bounds[kind].filter(F.col("month").isin(group))
+        wide = here.groupBy(KEY).agg(F.map_from_entries(F.collect_list(F.struct("month", "q"))).alias("__q"))
+        out = rows.filter(month(F.col("ts")) <= group[-1]).join(wide, KEY, "left")
+        q = {at: F.try_element_at("__q", F.lit(at)) for at in group}
+        return out.withColumns({f"t_{at}": targets.within(F.col("target"), q[at][0], q[at][1]) for at in group}).drop("__q", "target")
+
+    out = None
+    for i in range(0, len(used), parallel):
+        group = used[i : i + parallel]
+        search = {at: Job(folds[at][0], f"t_{at}", loss, trees, folds[at][1]) for at in group}
+        best = {at: model.best for at, model in grow(with_targets(group, "fit"), search, patience, step)[1].items()}
+        again = {at: Job(folds[at][2], f"t_{at}", loss, best[at]) for at in group}
+        found = tagged(grow(with_targets(group, "all"), again, patience, step)[0].select(KEY, "ts", *group), group)
+        found = found.filter(month(F.col("ts")) == F.col("model")).withColumnRenamed("model", "prediction_month")
+        chosen = F.create_map(*[x for at in group for x in (F.lit(at), F.lit(best[at]))])
+        found = found.withColumn("best_iteration", chosen[F.col("prediction_month")])
+        found = found.select(KEY, "ts", "prediction", "prediction_month", "best_iteration")
+        out = found if out is None else out.unionByName(found)
     return out
 
 

@@ -28,13 +28,18 @@ def normalized(rows: DataFrame, volatility: str | None, floor: float = 1e-6) ->
     return rows.withColumn("target", F.try_divide(y, F.greatest(volatility, F.lit(floor))) if volatility else y)
 
 
+def within(value: Column, lower: Column, upper: Column) -> Column:
+    """A value kept between two bounds, where they are known; null stays null."""
+    return F.when(value.isNotNull(), F.least(upper, F.greatest(lower, value)))
+
+
 def clipped(rows: DataFrame, train: Column, bounds: tuple[float, float], by: list[str]) -> DataFrame:
-    """rows with `target` clipped to quantiles of the training rows only, and these quantiles.
+    """rows with `target` clipped to quantiles of the training rows only, and these quantiles; null targets stay null.
 
     A row of bounds per group is joined: as many as there are series or folds.
     """
     found = quantiles(rows.filter(train), F.col("target"), by, {"lower": bounds[0], "upper": bounds[1]})
-    return rows.join(found, by).withColumn("target", F.least("upper", F.greatest("lower", "target")))
+    return rows.join(found, by).withColumn("target", within(F.col("target"), F.col("lower"), F.col("upper")))
 
 
 def fold_months(rows: DataFrame, start: str) -> DataFrame:
@@ -50,6 +55,22 @@ def months_from(rows: DataFrame, start: str) -> list[str]:
     return [r.month for r in fold_months(rows, start).select(month(F.col("begin")).alias("month")).distinct().orderBy("month").collect()]
 
 
+def month_after(seconds: int) -> Column:
+    """The month whose next ones all begin more than so many seconds after a row."""
+    return F.trunc(F.timestamp_seconds(F.unix_seconds("ts") + seconds), "MM")
+
+
+def past_bounds(rows: DataFrame, months: list[str], purge_seconds: int, bounds: tuple[float, float]) -> DataFrame:
+    """month, q: two quantiles of each series' targets that end more than so many seconds before each of these months.
+
+    Months are a list that the calendar bounds; rows are not copied to later months.
+    """
+    ends = F.explode(F.array(*[F.lit(f"{m}-01").cast("date") for m in months])).alias("until")
+    untils = rows.select(KEY).distinct().select(KEY, ends)
+    found = Expanding(rows, F.col("target"), [KEY], month_after(purge_seconds), untils).quantiles(list(bounds))
+    return found.select(KEY, month(F.col("until").cast("timestamp")).alias("month"), "q")
+
+
 def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 30, skip_empty: bool = False) -> DataFrame:
     """Counts and training bounds of each monthly purged walk-forward fold.
 
@@ -60,13 +81,8 @@ def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 3
     of targets in order.
     """
     inner, months = inner_days * 86_400, fold_months(rows, start)
-
-    def before(seconds: int) -> Column:
-        """The month whose next ones all begin more than so many seconds after a row."""
-        return F.trunc(F.timestamp_seconds(F.unix_seconds("ts") + seconds), "MM")
-
     ends = {"fit_rows": inner + horizon_seconds, "train_rows": horizon_seconds, "older_rows": inner, "here": 0}
-    told = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), before(s).alias("period")) for k, s in ends.items()])).alias("t")
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), month_after(s).alias("period")) for k, s in ends.items()])).alias("t")
     counts = rows.select(KEY, told).groupBy(KEY, "t.kind", "t.period").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.col("period") < F.col("begin")
     found = counts.join(months, KEY).groupBy(KEY, "begin").agg(
@@ -75,7 +91,7 @@ def folds(rows: DataFrame, start: str, horizon_seconds: int, inner_days: int = 3
     )
     found = found.withColumn("validation_rows", F.greatest(F.col("train_rows") - F.col("older_rows"), F.lit(0)))
     untils = months.select(KEY, F.col("begin").alias("until"))
-    bounds = Expanding(rows, F.col("target"), [KEY], before(horizon_seconds), untils).quantiles([0.005, 0.995])
+    bounds = Expanding(rows, F.col("target"), [KEY], month_after(horizon_seconds), untils).quantiles([0.005, 0.995])
     bounds = bounds.select(KEY, F.col("until").alias("begin"), "q")
     found = found.join(bounds, [KEY, "begin"], "left").withColumn("month", month(F.col("begin").cast("timestamp")))
     if skip_empty:

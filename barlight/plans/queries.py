@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ COMPARED_TREES = 100
 TARGET_TREES = 30
 WALK_TREES = 50
 PATIENCE = 5
+VARIANTS = {"raw": None, "vol_12": "volatility_12", "vol_48": "volatility_48"}
 NUDGE = 1e-12
 
 
@@ -357,20 +358,31 @@ def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.scores(models.ridge(train, valid), [KEY])
 
 
+def _fit_and_valid() -> tuple[Column, Column]:
+    begin, end = (F.lit(t).cast("timestamp") for t in (VALIDATION, TEST))
+    return F.col("ts") < begin, (F.col("ts") >= begin) & (F.col("ts") < end)
+
+
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, valid = _parts(_table(spark, sf_dir))
-    losses = {"l1": "absolute", "l2": "squared", "huber": "squared"}
-    return models.comparison(train, valid, losses, COMPARED_TREES, PATIENCE, STEP)
+    fit, valid = _fit_and_valid()
+    rows = targets.normalized(_table(spark, sf_dir), None).filter(fit | valid)
+    losses = {"l1": "absolute", "l2": "squared", "huber": "huber"}
+    return written(models.comparison(rows, fit, valid, losses, COMPARED_TREES, PATIENCE, STEP, ("close", features.LABEL)), "compared")
 
 
 def _target_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, table = None, _table(spark, sf_dir)
-    for name, volatility in (("raw", None), ("vol_12", "volatility_12"), ("vol_48", "volatility_48")):
-        train, valid = _parts(table, volatility)
-        found = models.boosted(train, valid, targets.thinned(valid, HORIZON), TARGET_TREES, patience=PATIENCE, step=STEP)[0]
-        # the market's own return is what all variants are scored on; lower and upper are of clipped ones only
-        found = found.select("ts", "prediction", features.LABEL, F.lit(name).alias("model"))
-        out = found if out is None else out.unionByName(found)
+    """Targets raw and in units of two volatilities, these clipped: three models in step over one table."""
+    fit, valid = _fit_and_valid()
+    rows = _table(spark, sf_dir).filter(fit | valid)
+    for name, volatility in VARIANTS.items():
+        rows = targets.normalized(rows, volatility)
+        if volatility:
+            rows = targets.clipped(rows, fit, DAILY.clip, [KEY]).drop("lower", "upper")
+        rows = rows.withColumnRenamed("target", f"target_{name}")
+    jobs = {name: models.Job(fit, f"target_{name}", "absolute", TARGET_TREES, valid) for name in VARIANTS}
+    found, _ = models.boosted(rows, jobs, [KEY, "ts", features.LABEL, *[j.target for j in jobs.values()]], PATIENCE, STEP)
+    # the market's own return is what all variants are scored on
+    out = models.tagged(targets.thinned(found.filter(valid), HORIZON), list(jobs)).select("ts", "prediction", features.LABEL, "model")
     return models.target_scores(written(out, "variants"))
 
 

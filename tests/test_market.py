@@ -348,35 +348,12 @@ def test_rolling_metrics_against_pandas(spark):
         np.testing.assert_allclose(got[name].astype(float), want, atol=1e-10, err_msg=name)
 
 
-def test_best_iteration_is_where_loss_last_fell(spark):
-    class Told:
-        def __init__(self, errors):
-            self.errors = errors
-
-        def evaluateEachIteration(self, valid, loss):
-            return self.errors
-
-    def plain(errors, patience):
-        best = 0
-        for i in range(len(errors)):
-            if errors[i] < errors[best]:
-                best = i
-            if i - best >= patience:
-                break
-        return best + 1
-
-    rng = np.random.default_rng(15)
-    for _ in range(100):
-        errors = rng.integers(0, 9, int(rng.integers(1, 30))).astype(float).tolist()
-        for patience in (1, 3, 50):
-            assert models.best_iteration(Told(errors), None, "squared", patience) == plain(errors, patience)
-
-
-def test_comparison_has_a_row_for_each_loss(spark, monkeypatch):
-    monkeypatch.setattr(models, "boosted", lambda train, valid, rows, trees, loss, patience, step: (rows.withColumn("prediction", F.lit(0.5 if loss == "squared" else 0.1)), 1))
-    rows = predictions(spark, [1, 2], [0.1, 0.2]).drop("prediction")
-    got = models.comparison(rows, rows, {"l1": "absolute", "l2": "squared", "huber": "squared"}, 5).collect()
-    assert sorted({(r.model, r.prediction) for r in got}) == [("huber", 0.5), ("l1", 0.1), ("l2", 0.5)] and len(got) == 6
+def test_comparison_has_a_model_for_each_loss(spark):
+    rows = modelled(spark, 80).withColumn("future_return", F.col("target") * 2)
+    got = models.comparison(rows, F.col("ts") < "2024-02-20", F.col("ts") >= "2024-02-20", {"l1": "absolute", "l2": "squared", "huber": "huber"}, 3, patience=1).toPandas()
+    assert got.columns.tolist() == [KEY, "ts", "target", "future_return", "model", "prediction"] and len(got) == 3 * 30
+    wide = got.pivot(index="ts", columns="model", values="prediction")
+    assert all((wide[a] != wide[b]).any() for a, b in (("l1", "l2"), ("l2", "huber"), ("l1", "huber")))
 
 
 def test_best_model_from_stored_predictions_equals_sql(spark, tmp_path):
@@ -452,14 +429,6 @@ def modelled(spark, n=120):
     return spark.createDataFrame(rows, f"{KEY} string, ts timestamp, " + ", ".join(f"`{c}` double" for c in features.FEATURES) + ", target double")
 
 
-def test_tree_search_is_that_of_all_trees(spark):
-    rows = models.assembled(modelled(spark, 60).filter("target < 100"))
-    for patience in (1, 3):
-        model = models._trees(9, "squared", 1).fit(rows)
-        want = models.best_iteration(model, rows.filter("day(ts) % 2 = 0"), "squared", patience)
-        assert models.searched(rows, rows.filter("day(ts) % 2 = 0"), 9, "squared", patience)[1] == want
-
-
 def test_walkforward_predicts_each_month_once(spark):
     rows = modelled(spark)
     with pytest.raises(ValueError, match="empty fold 2024-01"):
@@ -469,35 +438,43 @@ def test_walkforward_predicts_each_month_once(spark):
 
 
 def test_walkforward_clips_targets_by_training_rows_of_the_fold(spark, monkeypatch):
-    seen = {}
+    seen, grow = [], models.grow
 
-    def watched(train, valid, rows, trees, refit, patience, step):
-        for name, part in (("fit", train), ("valid", valid), ("refit", refit)):
-            seen[name] = part.orderBy("ts").toPandas().target
-        return rows.withColumn("prediction", F.lit(0.0)), 1
+    def watched(rows, jobs, patience, step):
+        for at, job in jobs.items():
+            seen.append([rows.filter(f).orderBy("ts").toPandas()[job.target] for f in (job.fit, job.valid) if f is not None])
+        return grow(rows, jobs, patience, step)
 
-    monkeypatch.setattr(models, "boosted", watched)
+    monkeypatch.setattr(models, "grow", watched)
     rows = modelled(spark)
     models.walkforward(rows, ["2024-04"], 86_400, 2, 30)
+    (fit, valid), (refit,) = seen
     raw = rows.orderBy("ts").toPandas().target
     ends = {"fit": 60, "refit": 90}  # 2024-03-02 and 2024-04-01, each less a day
     bounds = {name: raw[:end].quantile([0.005, 0.995]).to_numpy() for name, end in ends.items()}
-    np.testing.assert_allclose(seen["fit"], raw[:60].clip(*bounds["fit"]))
-    np.testing.assert_allclose(seen["valid"], raw[61:90].clip(*bounds["fit"]))
-    np.testing.assert_allclose(seen["refit"], raw[:90].clip(*bounds["refit"]))
+    np.testing.assert_allclose(fit, raw[:60].clip(*bounds["fit"]))
+    np.testing.assert_allclose(valid, raw[61:90].clip(*bounds["fit"]))
+    np.testing.assert_allclose(refit, raw[:90].clip(*bounds["refit"]))
     assert bounds["refit"][1] < raw[:90].max()
 
 
+def test_clipped_keeps_null_targets(spark):
+    rows = predictions(spark, [1.0, 2.0, 3.0, 9.0]).withColumn("target", F.when(F.col("prediction") < 9, F.col("prediction")))
+    got = targets.clipped(rows, F.lit(True), (0.05, 0.95), [KEY]).orderBy("ts").toPandas().target
+    np.testing.assert_allclose(got[:3], [1.1, 2.0, 2.9])
+    assert np.isnan(got[3])
+
+
 def test_tree_queries_have_limits_above_the_patience(spark, monkeypatch):
     from barlight.plans import queries
 
     taken = []
 
-    def watched(train, valid, rows, trees, loss="absolute", patience=50, refit=None, step=0.03):
-        taken.append((trees, patience, step))
-        return rows.withColumn("prediction", F.lit(0.0)), 1
+    def watched(rows, jobs, keep, patience=50, step=0.03, trees=None):
+        taken.extend((job.trees, job.loss, patience, step) for job in jobs.values())
+        return rows.select(*keep, *[F.lit(0.0).alias(n) for n in jobs]), {}
 
     monkeypatch.setattr(models, "boosted", watched)
     queries._compared(spark, "/root/testdata/sf0.01")
     queries._target_variants(spark, "/root/testdata/sf0.01")
-    assert taken == [(100, 5, 0.3)] * 2 + [(30, 5, 0.3)] * 3
+    assert taken == [(100, x, 5, 0.3) for x in ("absolute", "squared", "huber")] + [(30, "absolute", 5, 0.3)] * 3

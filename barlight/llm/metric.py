@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,37 +105,25 @@ def one_way(own: np.ndarray, k: int) -> np.ndarray:
 def _pivots(sample: DataFrame, dtype: str, reach: float) -> DataFrame:
     """cell, pivots, salts for the cells that pivots cut well, from a sample of each (cell, vec, home, homes, members)."""
 
-    def choose(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
-        at, rows = None, []
-
-        def chosen() -> dict[str, list]:
-            x, at_home = units([r[0] for r in rows], dtype), np.array([r[1] for r in rows])
-            homes, members = rows[0][2:]
-            k = min(PIVOTS, max(2, -(-homes // PER_PIVOT)), int(at_home.sum()))
-            none: dict[str, list] = {"cell": [], "pivots": [], "salts": []}
-            if k < 2:
-                return none
-            p = far_apart(x[at_home], k)
-            own, may = visits(x, p, reach)
-            # pairs to compare after the cut, those of guests too, against those before
-            home = np.bincount(own[at_home], minlength=k)
-            guests = (may & (one_way(own, k) | ~at_home[:, None])).sum(axis=0) + np.bincount(own[~at_home], minlength=k)
-            if (home * (home / 2 + guests)).sum() > GAIN * at_home.sum() * (len(x) - at_home.sum() / 2):
-                return none
-            return {"cell": [at], "pivots": [p.astype("<f8").tobytes()], "salts": [-(-members // SALT_ROWS)]}
-
-        for b in batches:
-            for cell, *row in zip(b["cell"], b["vec"], b["home"], b["homes"], b["members"], strict=True):
-                if cell != at and rows:
-                    yield chosen()
-                    rows = []
-                at = cell
-                rows.append(row)
-        if rows:
-            yield chosen()
-
-    given = sample.select("cell", "vec", "home", "homes", "members").repartition("cell").sortWithinPartitions("cell", "vec")
-    return arrow_map(given, choose, "cell string, pivots binary, salts int")
+    def choose(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("vec")
+        x, at_home = units(sample["vec"], dtype), sample["home"].to_numpy(bool)
+        cell, homes, members = sample[["cell", "homes", "members"]].iloc[0]
+        k = min(PIVOTS, max(2, -(-int(homes) // PER_PIVOT)), int(at_home.sum()))
+        none = pd.DataFrame({"cell": [], "pivots": [], "salts": []}, dtype=object)
+        if k < 2:
+            return none
+        p = far_apart(x[at_home], k)
+        own, may = visits(x, p, reach)
+        # pairs to compare after the cut, those of guests too, against those before
+        home = np.bincount(own[at_home], minlength=k)
+        guests = (may & (one_way(own, k) | ~at_home[:, None])).sum(axis=0) + np.bincount(own[~at_home], minlength=k)
+        if (home * (home / 2 + guests)).sum() > GAIN * at_home.sum() * (len(x) - at_home.sum() / 2):
+            return none
+        return pd.DataFrame({"cell": [cell], "pivots": [p.astype("<f8").tobytes()], "salts": [-(-int(members) // SALT_ROWS)]})
+
+    # grouped, not repartitioned and mapped: a repartition by the key of the join before may be left out, and that join's partitions be split
+    return sample.select("cell", "vec", "home", "homes", "members").groupBy("cell").applyInPandas(choose, "cell string, pivots binary, salts int")
 
 
 def _cut(members: DataFrame, pivots: DataFrame, dtype: str, reach: float) -> DataFrame:

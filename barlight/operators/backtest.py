@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.config import Config
-from barlight.functions.stats import KEY, by_time, month
+from barlight.functions.stats import KEY, month
 from barlight.operators.features import LABEL
-from barlight.operators.ordered import ordered_index, running_max, running_product
+from barlight.operators.ordered import CHUNK, ordered_index, quantiles, running_max, running_product, running_sum, with_previous
 from barlight.operators.rolling import past_quantiles
+from barlight.session import written
 
 SIDES = ("long", "short", "long_short")
 
@@ -106,9 +107,9 @@ def positions(rows: DataFrame, config: Config, active: Column | None = None) ->
     """
     here = F.lit(True) if active is None else active
     wanted = F.coalesce((F.col("prediction") >= F.col("long_threshold")).cast("int"), F.lit(0))
-    out = rows.withColumn("position", wanted)
-    change = F.col("position") - F.coalesce(F.lag("position").over(by_time()), F.lit(0))
-    out = out.withColumn("position_change", change).withColumn("turnover", F.abs("position_change"))
+    out = with_previous(rows.withColumn("position", wanted), {"__before": "position"})
+    change = F.col("position") - F.coalesce("__before", F.lit(0))
+    out = out.withColumn("position_change", change).withColumn("turnover", F.abs("position_change")).drop("__before")
     return out.withColumns(
         {
             "gross_return": F.when(here, F.col("position") * F.col(LABEL)).otherwise(0.0),
@@ -144,16 +145,20 @@ def position_monthly(rows: DataFrame) -> DataFrame:
     )
 
 
-def holding_runs(rows: DataFrame, bar_minutes: float) -> DataFrame:
-    """Lengths of unbroken holdings: runs of position 1 by a running count of changes."""
-    w = by_time()
-    new = F.coalesce(F.col("position") != F.lag("position").over(w), F.lit(True)).cast("int")
-    runs = rows.withColumn("__new", new).withColumn("run", F.sum("__new").over(w))
-    lengths = runs.filter("position = 1").groupBy(KEY, "run").agg(F.count(F.lit(1)).alias("n"))
-    return lengths.groupBy(KEY).agg(
+def holding_runs(rows: DataFrame, bar_minutes: float, chunk: int = CHUNK) -> DataFrame:
+    """Lengths of unbroken holdings: runs of position 1 by a running count of changes, chunk by chunk.
+
+    A run is counted where its rows are, then over the chunks it goes on in; medians are of counted lengths.
+    """
+    shown = rows.select(KEY, "ts", "position", *[c for c in ("rn",) if c in rows.columns])
+    changed = with_previous(shown, {"__before": "position"}, chunk)
+    new = F.coalesce(F.col("position") != F.col("__before"), F.lit(True)).cast("int")
+    runs = running_sum(changed, new, "run", chunk)
+    lengths = written(runs.filter("position = 1").groupBy(KEY, "run").agg(F.count(F.lit(1)).alias("n")), "holdings")
+    found = lengths.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("holdings"),
         F.avg("n").alias("mean_length"),
-        F.percentile("n", 0.5).alias("median_length"),
         F.max("n").alias("max_length"),
         (F.avg("n") * bar_minutes).alias("mean_minutes"),
     )
+    return found.join(quantiles(lengths, F.col("n").cast("double"), [KEY], {"median_length": 0.5}), KEY)

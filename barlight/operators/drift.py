@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY, month, safe_corr, with_ranks
 from barlight.operators.backtest import compounded
-from barlight.operators.ordered import Expanding
+from barlight.operators.ordered import Expanding, quantiles
 from barlight.session import written
 
 WATCHED = ("prediction", "volatility_48", "volume_ratio_48", "return_12", "price_ma_ratio_48")
@@ -82,20 +82,22 @@ def monthly_psi(rows: DataFrame, columns: tuple[str, ...] = WATCHED, bins: int =
 
 
 def monthly_summary(rows: DataFrame) -> DataFrame:
+    """Activity, predictions and returns of each month; the quantiles of all months come from one numbering of counted values."""
+    rows = rows.withColumn("month", month(F.col("ts")))
+    tails = quantiles(rows, F.col("prediction"), [KEY, "month"], {"prediction_p01": 0.01, "prediction_p99": 0.99})
     on = F.col("position") == 1
     gross = F.when(on, F.col("gross_return"))
-    return rows.groupBy(KEY, month(F.col("ts")).alias("month")).agg(
+    found = rows.groupBy(KEY, "month").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(on).alias("active_periods"),
         F.avg(on.cast("double")).alias("signal_frequency"),
         F.avg("prediction").alias("prediction_mean"),
         F.stddev_samp("prediction").alias("prediction_std"),
-        F.percentile("prediction", 0.01).alias("prediction_p01"),
-        F.percentile("prediction", 0.99).alias("prediction_p99"),
         (F.avg(gross) * 10_000).alias("gross_bps"),
         F.avg((gross > 0).cast("double")).alias("signal_hit_rate"),
         compounded(F.col("net_return")).alias("monthly_return"),
     )
+    return found.join(tails, [KEY, "month"], "left")
 
 
 def monthly_stats(rows: DataFrame, columns: tuple[str, ...] = WATCHED[1:]) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.config import Config
-from barlight.functions.stats import KEY, by_time, month
-from barlight.operators.ordered import ordered_index, running_product, running_sum
+from barlight.functions.stats import KEY, month
+from barlight.operators.ordered import CHUNK, haloed, in_chunk, ordered_index, running, scanned, with_previous
 from barlight.operators.rolling import in_chunks, worst_drawdowns
 
 #: Limits of the codes, in order (code, measure, warning, critical); ratio has two.
@@ -46,8 +46,9 @@ def rolling_metrics(rows: DataFrame, config: Config) -> DataFrame:
     rows = rows.withColumns(
         {"is_active": active.cast("int"), "is_win": F.when(active, (F.col("gross_return") > 0).cast("double"))}
     )
-    rows = running_product(ordered_index(rows, ["ts"]), 1 + F.col("net_return"), "equity")
-    rows = running_sum(rows, F.col("is_active"), "__active")
+    rows = rows if "rn" in rows.columns else ordered_index(rows, ["ts"])
+    both = {"equity": (F.product, 1 + F.col("net_return")), "__active": (F.sum, F.col("is_active"))}
+    rows = running(rows, both, {"equity": lambda a, b: a * b, "__active": lambda a, b: a + b})
     before = F.try_divide(F.col("__active") - F.col("is_active"), F.col("rn") - 1)
     rows = rows.withColumn("historical_signal_frequency", before).drop("__active")
 
@@ -68,7 +69,7 @@ def rolling_metrics(rows: DataFrame, config: Config) -> DataFrame:
             "rolling_hit_rate": over(pdf["is_win"].astype(float)).mean(),
             "rolling_30d_return": growth.where(~lost, -1.0),
             "current_drawdown_30d": (equity / peak.where(peak != 0)) - 1,
-            "rolling_max_drawdown_30d": np.where(pdf["__rn"] >= 1, worst_drawdowns(equity.to_numpy(), window), np.nan),
+            "rolling_max_drawdown_30d": np.where(pdf["rn"] >= 2, worst_drawdowns(equity.to_numpy(), window), np.nan),
         }
         return pdf.assign(**found)
 
@@ -99,29 +100,39 @@ def recovered() -> Column:
     return F.coalesce(tests[0] & tests[1] & tests[2], F.lit(False))
 
 
-def staged(rows: DataFrame, raw: str = "raw_performance_status", ok: str = "recovery") -> DataFrame:
+def staged(rows: DataFrame, raw: str = "raw_performance_status", ok: str = "recovery", chunk: int = CHUNK) -> DataFrame:
     """rows with performance_status: raw alerts hold at once, recovery goes by stages.
 
     A run starts at each raw alert. After a WARNING, the first healthy row that passes the
     recovery test ends the alert; after a CRITICAL one the first healthy row is still WARNING
     and the test counts from the second on. Rows before any alert are healthy.
+
+    So a row is a map of three states: an alert sends all to its own, a healthy row a critical state to
+    WARNING, and one in WARNING to HEALTHY if it passes. Inside a chunk of a series windows compose these maps: after its
+    first alert a row's state is known, before it there is one for each state that the chunk begins in.
+    The chunks' maps are gone through in order, and each row takes what belongs to its chunk's first state.
     """
-    sick = F.col(raw) != "HEALTHY"
+    sick, passed = F.col(raw) != "HEALTHY", F.col(ok)
     numbered = rows if "rn" in rows.columns else ordered_index(rows, ["ts"])
-    rows = running_sum(numbered, sick.cast("int"), "__run")
-    run = Window.partitionBy(KEY, "__run").orderBy("ts")
-    after = F.row_number().over(run) - 1
-    anchor = F.first(raw).over(run)
-    rows = rows.withColumns({"__after": after, "__anchor": anchor})
-    wait = F.when(F.col("__anchor") == "CRITICAL", 2).otherwise(1)
-    heals = (~sick & F.col(ok) & (F.col("__after") >= wait)).cast("int")
-    rows = rows.withColumn("__healed", F.max(heals).over(run))
-    status = (
-        F.when(sick, F.col(raw))
-        .when((F.col("__run") == 0) | (F.col("__healed") == 1), "HEALTHY")
-        .otherwise("WARNING")
-    )
-    return rows.withColumn("performance_status", status).drop("__run", "__after", "__anchor", "__healed")
+    cut = haloed(numbered, 0, 0, chunk).drop("__own")
+    cut = cut.withColumn("__run", F.sum(sick.cast("int")).over(in_chunk()))
+    run = in_chunk(None, "__run")
+    cut = cut.withColumns({"__after": F.row_number().over(run) - 1, "__anchor": F.first(raw).over(run)})
+    wait = F.when(F.col("__run") == 0, 0).when(F.col("__anchor") == "CRITICAL", 2).otherwise(1)
+    heals = ~sick & passed & (F.col("__after") >= wait)
+    late = heals & (F.col("__after") >= 1)  # what counts when the chunk begins after a critical row
+    cut = cut.withColumns({"__healed": F.max(heals).over(run), "__late": F.max(late).over(run)})
+    known = F.when(sick, F.col(raw)).when(F.col("__run") > 0, F.when(F.col("__healed"), "HEALTHY").otherwise("WARNING"))
+    healed = {"H": F.lit(True), "W": F.col("__healed"), "C": F.col("__late")}
+    maps = {k: F.coalesce(known, F.when(h, "HEALTHY").otherwise("WARNING")) for k, h in healed.items()}
+    cut = cut.withColumns({f"__{k}": m for k, m in maps.items()})
+    totals = cut.groupBy(KEY, "__chunk").agg(*[F.max_by(F.substring(f"__{k}", 1, 1), "rn").alias(k) for k in maps])
+    begun = scanned(totals, "HWC", {k: F.col(k) for k in maps}, "H")
+    state = F.col("__H")
+    for k in ("W", "C"):
+        state = F.when(F.col("__state") == k, F.col(f"__{k}")).otherwise(state)
+    made = ["__chunk", "__run", "__after", "__anchor", "__healed", "__late", "__state", *[f"__{k}" for k in maps]]
+    return cut.join(begun, [KEY, "__chunk"]).withColumn("performance_status", state).drop(*made)
 
 
 def monitored(rows: DataFrame, config: Config) -> DataFrame:
@@ -202,10 +213,14 @@ def reason_counts(rows: DataFrame) -> DataFrame:
 
 def transitions(rows: DataFrame, last: int | None = 40) -> DataFrame:
     """Rows whose overall status differs from the one before, the first row too; the last few."""
-    before = F.lag("overall_status").over(by_time())
-    found = rows.withColumn("previous_status", before).filter(~F.col("overall_status").eqNullSafe(F.col("previous_status")))
+    shown = rows.select(KEY, "ts", "raw_performance_status", *STATES, *MEASURES, *[c for c in ("rn",) if c in rows.columns])
+    found = with_previous(shown, {"previous_status": "overall_status"}).filter(~F.col("overall_status").eqNullSafe(F.col("previous_status")))
     found = found.select(KEY, "ts", "previous_status", "raw_performance_status", *STATES, *MEASURES)
     if last is None:
         return found
-    n = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("ts")))
-    return found.withColumn("__n", n).filter(F.col("__n") <= last).drop("__n")
+    # the last few of each range of rows, then of these
+    found = found.withColumn("__part", F.spark_partition_id())
+    for by in ([KEY, "__part"], [KEY]):
+        n = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts")))
+        found = found.withColumn("__n", n).filter(F.col("__n") <= last).drop("__n")
+    return found.drop("__part")

@@ -10,6 +10,7 @@ from barlight.functions.stats import KEY, month
 from barlight.operators.backtest import compounded, positions, sharpe, with_equity, with_thresholds
 from barlight.operators.features import LABEL
 from barlight.operators.metrics import rank_ic
+from barlight.session import written
 
 
 def with_history(history: DataFrame, test: DataFrame, config: Config) -> DataFrame:
@@ -28,9 +29,12 @@ def reattached(rows: DataFrame, lookup: DataFrame, columns: list[str]) -> DataFr
 
 
 def evaluated(history: DataFrame, test: DataFrame, features: DataFrame, config: Config) -> DataFrame:
-    """Positions over the whole series, so that they go on over the boundary; then test rows only."""
+    """Positions over the whole series, so that they go on over the boundary; then test rows only.
+
+    Written once, with what the reports need: each of them reads it several times.
+    """
     rows = reattached(with_history(history, test, config), features, [LABEL])
-    return positions(rows, config, F.col("is_test")).filter("is_test")
+    return written(positions(rows, config, F.col("is_test")).filter("is_test").drop("rn"), "evaluated")
 
 
 def summary(rows: DataFrame, config: Config) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from barlight.functions.stats import KEY
 from barlight.session import written
@@ -46,6 +47,56 @@ def ordered_index(
     )
 
 
+def haloed(numbered: DataFrame, before: int = 1, after: int = 0, chunk: int = CHUNK, by: list[str] | None = None) -> DataFrame:
+    """Rows numbered by `rn` in chunks of `chunk` rows, each with the `before` rows before it and the `after` rows after it.
+
+    For windows of a bounded reach: partitioned by group and `__chunk` they see all rows that they look at, and no
+    task has a whole group. Rows lent to a neighbour have false in `__own`, to be dropped after use.
+    """
+    size = max(chunk, before, after)
+    at, place = F.floor((F.col("rn") - 1) / size), (F.col("rn") - 1) % size
+    lent = [F.when(place >= size - before, at + 1)] if before else []
+    lent += [F.when((place < after) & (at > 0), at - 1)] if after else []
+    spread = numbered.withColumn("__at", at).withColumn("__chunk", F.explode(F.array_compact(F.array(at, *lent))))
+    return spread.withColumn("__own", F.col("__chunk") == F.col("__at")).drop("__at")
+
+
+def in_chunk(by: list[str] | None = None, *extra: str) -> WindowSpec:
+    """The rows of a chunk in order."""
+    return Window.partitionBy(*([KEY] if by is None else by), "__chunk", *extra).orderBy("rn")
+
+
+def owned(haloed: DataFrame) -> DataFrame:
+    return haloed.filter("__own").drop("__own", "__chunk")
+
+
+def with_previous(df: DataFrame, columns: dict[str, str], chunk: int = CHUNK) -> DataFrame:
+    """df with columns (name to source) of the row before in its series, null on the first; numbered by `rn`, chunk by chunk."""
+    numbered = df if "rn" in df.columns else ordered_index(df, ["ts"])
+    rows = haloed(numbered, 1, 0, chunk)
+    return owned(rows.withColumns({new: F.lag(c).over(in_chunk()) for new, c in columns.items()}))
+
+
+def scanned(rows: DataFrame, states: str, maps: dict[str, Column], start: str) -> DataFrame:
+    """chunk totals (by series and `__chunk`, from 0 without a gap) to the state before each chunk.
+
+    An automaton over a long series: `maps` tells for each state (a letter) the state after the chunk. One
+    row a chunk meets in a task, which goes through them in order. The result has KEY, __chunk and `__state`.
+    """
+    each = F.sort_array(F.collect_list(F.struct("__chunk", *[m.alias(k) for k, m in maps.items()])))
+    last = lambda told: F.substring(told, F.length(told), F.lit(1))
+
+    def on(told: Column, step: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k in states:
+            out = F.when(last(told) == k, step[k]).otherwise(out)
+        return F.concat(told, out)
+
+    told = rows.groupBy(KEY).agg(F.aggregate(each, F.lit(start), on).alias("told"), F.count(F.lit(1)).alias("n"))
+    chunks = told.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return chunks.select(KEY, "__chunk", F.substring("told", F.col("__chunk").cast("int") + 1, F.lit(1)).alias("__state"))
+
+
 def running(
     df: DataFrame,
     aggregates: dict[str, tuple[Callable[[Column], Column], Column]],
@@ -85,15 +136,23 @@ def running_max(df: DataFrame, value: Column, name: str, chunk: int = CHUNK, by:
 
 
 def quantiles(df: DataFrame, value: Column, by: list[str], points: dict[str, float]) -> DataFrame:
-    """A row per group with exact quantiles (linear) of `value`, nulls left out."""
+    """A row per group with exact quantiles (linear) of `value`, nulls left out.
+
+    Equal values are counted before they are dealt to ranges, so that a value which much of a group
+    has is one row of one range. All groups share one numbering: they follow each other in its ranges.
+    """
     values = df.select(*by, value.alias("__v")).filter("__v is not null")
-    rows = ordered_index(values, ["__v"], by=by, size="n")
+    counts = values.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__times"))
+    rows = ordered_index(counts, ["__v"], by=by, weight="__times", size="n")
     out = []
     for name, q in points.items():
         at = (F.col("n") - 1) * F.lit(q)
         low = F.floor(at)
-        first = F.max(F.when(F.col("rn") == low + 1, F.col("__v")))
-        second = F.max(F.when(F.col("rn") == F.least(low + 2, F.col("n")), F.col("__v")))
+
+        def ranked(rank: Column) -> Column:
+            return F.max(F.when((F.col("rn") - F.col("__times") < rank) & (rank <= F.col("rn")), F.col("__v")))
+
+        first, second = ranked(low + 1), ranked(F.least(low + 2, F.col("n")))
         out.append((first + (second - first) * F.max(at - low)).alias(name))
     return rows.groupBy(*by).agg(*out)
 
@@ -110,20 +169,22 @@ def with_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 class Expanding:
     """What came before each of some periods, without copying rows to all later periods.
 
-    rows(by.., period, value) are numbered by value and cut into blocks of `block` rows. How many rows
+    rows(by.., period, value) are counted by value and period, numbered by value and cut into blocks of `block`
+    counts, so that a value which many rows have is as many rows as it has periods. How many rows
     of a block belong to periods before `until` is a small table; a wanted rank or bound lies in
-    one block, and only that block's rows are looked at. `untils` has by.. and `until`, which is
+    one block, and only that block's counts are looked at. `untils` has by.. and `until`, which is
     compared with `period`: a list per group that the calendar bounds. Null values are left out.
     """
 
     def __init__(self, rows: DataFrame, value: Column, by: list[str], period: Column, untils: DataFrame, block: int = 1024) -> None:
         self.by, self.at = by, [*by, "until"]
         values = rows.select(*by, period.alias("period"), value.alias("v")).filter("v is not null")
-        numbered = ordered_index(values, ["v"], by=by).withColumn("block", F.floor((F.col("rn") - 1) / block))
+        counted = values.groupBy(*by, "v", "period").agg(F.count(F.lit(1)).alias("times"))
+        numbered = ordered_index(counted, ["v", "period"], by=by).withColumn("block", F.floor((F.col("rn") - 1) / block))
         self.rows = written(numbered, "blocks")
         blocks = self.rows.groupBy(*by, "block").agg(F.max("v").alias("high"))
         lower = F.lag("high").over(Window.partitionBy(*by).orderBy("block"))
-        counts = self.rows.groupBy(*by, "block", "period").agg(F.count(F.lit(1)).alias("c"))
+        counts = self.rows.groupBy(*by, "block", "period").agg(F.sum("times").alias("c"))
         grid = blocks.withColumn("low", lower).join(untils.select(*self.at).distinct(), by)
         held = grid.join(counts, [*by, "block"]).groupBy(*self.at, "block", "low", "high")
         held = held.agg(F.coalesce(F.sum(F.when(F.col("period") < F.col("until"), F.col("c"))), F.lit(0)).alias("c"))
@@ -133,7 +194,7 @@ class Expanding:
         self.sizes = self.blocks.groupBy(*self.at).agg(F.sum("c").alias("n"))
 
     def _inside(self, wanted: DataFrame) -> DataFrame:
-        """Rows of earlier periods in the wanted blocks (by.., until, block, ..)."""
+        """Counts of earlier periods in the wanted blocks (by.., until, block, ..)."""
         return self.rows.join(wanted, [*self.by, "block"]).filter(F.col("period") < F.col("until"))
 
     def quantiles(self, points: list[float]) -> DataFrame:
@@ -143,9 +204,10 @@ class Expanding:
         here = F.filter(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("c")))
         wanted = self.blocks.join(self.sizes, self.at).withColumn("ranks", here).filter(F.size("ranks") > 0)
         wanted = wanted.select(*self.at, "block", "before", "ranks")
-        place = F.row_number().over(Window.partitionBy(*self.at, "block").orderBy("rn")) + F.col("before")
-        found = self._inside(wanted).withColumn("rank", place).filter(F.array_contains("ranks", F.col("rank")))
-        found = found.groupBy(*self.at).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
+        upto = Window.partitionBy(*self.at, "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+        placed = self._inside(wanted).withColumn("place", F.sum("times").over(upto) + F.col("before"))
+        own = F.filter("ranks", lambda r: (r > F.col("place") - F.col("times")) & (r <= F.col("place")))
+        found = placed.withColumn("rank", F.explode(own)).groupBy(*self.at).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
         q = []
         for p, x in zip(points, low, strict=True):
             a, b = F.try_element_at("of", x), F.try_element_at("of", F.least(x + 1, F.col("n")))
@@ -159,6 +221,6 @@ class Expanding:
         """
         here = (F.col("low").isNull() | (F.col("bound") > F.col("low"))) & (F.col("bound") <= F.col("high"))
         wanted = self.blocks.join(bounds, self.at).filter(here).select(*self.at, "block", "bound", "before")
-        inner = self._inside(wanted).groupBy(*self.at, "bound").agg(F.count_if(F.col("v") < F.col("bound")).alias("inner"))
+        inner = self._inside(wanted).groupBy(*self.at, "bound").agg(F.sum(F.when(F.col("v") < F.col("bound"), F.col("times")).otherwise(0)).alias("inner"))
         out = wanted.join(inner, [*self.at, "bound"], "left")
         return out.select(*self.at, "bound", (F.col("before") + F.coalesce("inner", F.lit(0))).alias("less"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions.stats import KEY
-from barlight.operators.ordered import ordered_index
+from barlight.operators.ordered import haloed, ordered_index
 from barlight.session import ship
 
 
@@ -19,23 +19,20 @@ def in_chunks(df: DataFrame, window: int, fn: Callable[[pd.DataFrame], pd.DataFr
 
     A series is cut into chunks of at least `window` rows; the last `window` rows of a chunk are
     also given to the next, where they are dropped after use. fn sees a chunk with its halo. Rows
-    are numbered by `rn` where df has it, else without a task per series.
+    are numbered by `rn` where df has it, else without a task per series, and keep that number.
     """
     ship(df.sparkSession)
     size = max(window, chunk or 4 * window)
     numbered = df if "rn" in df.columns else ordered_index(df, ["ts"])
-    numbered = numbered.withColumn("__rn", F.col("rn") - 1)
-    own = F.floor(F.col("__rn") / size)
-    sent = F.when(F.col("__rn") % size >= size - window, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("__own", own).withColumn("__chunk", F.explode(sent))
+    spread = haloed(numbered, window, 0, size)
     schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{c}` {t}" for c, t in columns.items()]
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema] + [f"`{c}` {t}" for c, t in columns.items()]
     )
-    names = [*df.columns, *columns]
+    names = [*numbered.columns, *columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fn(pdf.sort_values("__rn"))
-        return out.loc[out["__own"] == out["__chunk"], names]
+        out = fn(pdf.sort_values("rn"))
+        return out.loc[out["__own"], names]
 
     return spread.groupBy(KEY, "__chunk").applyInPandas(run, schema)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlight.functions.stats import KEY, by_time
+from barlight.functions.stats import KEY
+from barlight.operators.ordered import CHUNK, with_previous
 from barlight.sources.bars import PRICES
 
 
@@ -33,10 +34,10 @@ def counts(bars: DataFrame) -> DataFrame:
     )
 
 
-def gaps(bars: DataFrame, bar_seconds: int) -> DataFrame:
+def gaps(bars: DataFrame, bar_seconds: int, chunk: int = CHUNK) -> DataFrame:
     """Gaps of more than one bar: the times around it, its length and the bars that are missing."""
     seconds = F.unix_seconds("ts") - F.unix_seconds("previous_ts")
-    found = bars.select(KEY, "ts", F.lag("ts").over(by_time()).alias("previous_ts"))
+    found = with_previous(bars.select(KEY, "ts"), {"previous_ts": "ts"}, chunk)
     return found.withColumn("gap_seconds", seconds).filter(F.col("gap_seconds") > bar_seconds).select(
         KEY, "previous_ts", "ts", "gap_seconds", (F.floor(F.col("gap_seconds") / bar_seconds) - 1).alias("missing_bars")
     )

@@ -73,8 +73,9 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def limited(rows: DataFrame) -> DataFrame:
-    """Predictions of every third day, whose labels don't overlap, with thresholds."""
-    return backtest.with_thresholds(targets.thinned(rows, HORIZON), DAILY)
+    """Predictions of every third day, whose labels don't overlap, with thresholds; only the columns that reports look at."""
+    shown = targets.thinned(rows, HORIZON).select(KEY, "ts", features.LABEL, *drift.WATCHED)
+    return backtest.with_thresholds(shown, DAILY)
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,8 @@ def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test positions after the cutoff, with earlier predictions as warm-up."""
-    rows = targets.thinned(predicted(spark, sf_dir), HORIZON)
+    rows = targets.thinned(predicted(spark, sf_dir), HORIZON).select(KEY, "ts", "prediction", features.LABEL)
+    rows = written(rows, "predictions")
     history = sources.prediction_history(rows, CUTOFF)
     test = rows.filter(F.col("ts") >= F.lit(CUTOFF).cast("timestamp"))
     return oos.evaluated(history, test, rows, DAILY)
@@ -237,7 +239,7 @@ query(
 
 
 def _half_hour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.with_features(features.segmented(half_hours(spark, sf_dir), HALF_HOUR.bar_seconds))
+    return features.features_of(half_hours(spark, sf_dir), HALF_HOUR.bar_seconds)
 
 
 _I_FEATURES = sql.HALF_HOUR + "," + sql.segments(1800) + "," + sql.features()

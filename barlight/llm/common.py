@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from barlight.session import removed, shared_dir, ship, written, written_at
 
@@ -32,13 +32,21 @@ def free_name(columns: Sequence[str], base: str) -> str:
     return base
 
 
+def _unhashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _unhashable(kind.elementType)
+    return isinstance(kind, (MapType, VariantType)) or isinstance(kind, StructType) and any(_unhashable(f.dataType) for f in kind)
+
+
 def one_row_each(df: DataFrame, key: list[str]) -> DataFrame:
     """Of the rows that agree on the key columns (never null) the one with the least hash of its columns.
 
-    Repeats are dropped before the shuffle, too, so that a much repeated row is no hot key.
+    Repeats are dropped before the shuffle, too, so that a much repeated row is no hot key. Columns that
+    hold maps, which have no hash, count by their JSON.
     """
     whole, row = free_name(df.columns, "whole"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in key])
-    hashed = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    columns = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    hashed = [F.to_json(F.struct(c.alias("of"))) if _unhashable(kind) else c for c, kind in columns]
     return df.groupBy(*key).agg(F.min_by(row, F.xxhash64(*hashed)).alias(whole)).select(*key, f"{whole}.*")
 
 

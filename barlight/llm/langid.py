@@ -110,8 +110,8 @@ def learn(
     table gives a model that answers `und`. Repeated rows count each time.
     """
     size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
-    seen = size.orderBy("lang").limit(languages + 1).collect()
-    if len(seen) > languages:
+    seen = (size.orderBy("lang").limit(languages + 1) if languages else size.orderBy("lang")).collect()
+    if languages and len(seen) > languages:
         raise ValueError(f"more than {languages} languages: give a larger bound")
     langs = [r["lang"] for r in seen]
     if not langs:

@@ -139,7 +139,7 @@ def learn(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, s
             each = [hashed(t, known.__getitem__) for t in texts]
             return {
                 "slots": [s.astype("<i4").tobytes() for s, _, _ in each],
-                "times": [np.minimum(n, 65_535).astype("<u2").tobytes() for _, n, _ in each],
+                "times": [n.astype("<u4").tobytes() for _, n, _ in each],
                 "value": [v for _, _, v in each],
             }
 
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, s
     kinds = sorted({f[1] for f in found})
     if len(kinds) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(0), kinds or [0.0])
-    parts = [(np.frombuffer(s, "<i4"), np.frombuffer(n, "<u2"), v) for _, _, s, n, v in found]
+    parts = [(np.frombuffer(s, "<i4"), np.frombuffer(n, "<u4"), v) for _, _, s, n, v in found]
     return fit(parts, [f[1] for f in found])
 
 

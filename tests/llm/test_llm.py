@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barlight.llm import fingerprints, jaccard, langid, media, mixing, packing, quality, registry, substrings, toxicity, wavelet
+from barlight.llm import common, fingerprints, jaccard, langid, media, mixing, packing, quality, registry, substrings, toxicity, wavelet
 from barlight.llm.tokens import Encoder, default_tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -387,7 +387,6 @@ def test_op5_awkward(spark):
     row = pair.select(
         fingerprints.containment(b, a).alias("c"),
         fingerprints.distinct_count(a).alias("n"),
-        (fingerprints.merged(F.array(a, b)) == fingerprints.sketch(F.concat_ws(" ", "a", "b"))).alias("close"),
         (fingerprints.from_text(fingerprints.as_text(a)) == a).alias("back"),
     ).first()
     assert row.c > 0.7 and abs(row.n - 896) < 250 and row.back
@@ -519,6 +518,36 @@ def test_op7(spark):
     assert quality.grade(awkward(spark), none).filter("size(tails) = 0").count() == 13
 
 
+def test_op5_merged_sketches_are_that_of_the_whole(spark):
+    words = [f"w{i}" for i in range(900)]
+    parts = [" ".join(words[:400]), " ".join(words[396:700]), " ".join(words[696:])]  # neighbours share the words of a seam
+    frame = spark.createDataFrame([(*parts, " ".join(words))], "a string, b string, c string, whole string")
+    sketches = F.array(*map(fingerprints.sketch, ("a", "b", "c")))
+    assert frame.select(fingerprints.merged(sketches) == fingerprints.sketch("whole")).first()[0]
+    assert frame.select(fingerprints.merged(F.array(fingerprints.sketch("a"), fingerprints.sketch("c"))) == fingerprints.sketch("whole")).first()[0] is False
+
+
+def test_op7_learns_from_large_counts_as_they_are(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades: taken.extend(rows))
+    text = " ".join(f"w{i}" for i in range(70_000))
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    quality.learn(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, grade int"))
+    want = quality.hashed(text)
+    assert taken[0][1].max() == want[1].max() > 65_535 and (taken[0][0] == want[0]).all() and (taken[0][1] == want[1]).all()
+
+
+def test_op3_without_a_bound_of_languages(spark):
+    rows = spark.createDataFrame([(f"{w} {w} common", w) for w in ("un", "deux", "trois", "quatre")] * 2, "text string, lang string")
+    assert langid.learn(rows, languages=0, least=1).langs == ["deux", "quatre", "trois", "un"]
+
+
+def test_one_row_each_tells_maps_apart(spark):
+    rows = spark.sql("select 1 as k, map('a', 1) as m, named_struct('x', map('b', 2)) as s union all select 1, map('a', 2), named_struct('x', map('b', 3))")
+    found = [common.one_row_each(r, ["k"]).collect() for r in (rows, rows.orderBy(F.desc(F.element_at("m", "a"))).coalesce(1))]
+    assert found[0] == found[1] and len(found[0]) == 1
+
+
 def test_op7_against_plain_scores(spark):
     """Expected grades and tails of a small model by a second, plain implementation, token by token."""
     ratings = spark.createDataFrame([(i, float(i % 3)) for i in range(40)], "doc_id long, grade double")

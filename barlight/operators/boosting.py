@@ -22,8 +22,8 @@ STEP = 0.03
 HUBER = 0.9
 #: Medians of leaves and of targets are exact up to so many values, and within 1 in so many ranks beyond.
 ACCURACY = 10_000
-#: After so many stages the rows are written, which cuts their lineage.
-CUT = 10
+#: After so many stages the rows are written, which cuts their lineage: all jobs of a stage carry what came since.
+CUT = 3
 #: Off while stages are cached: an adaptive plan holds its first and its last form, and a cached plan those of the one before, twice as many a stage.
 ADAPTIVE_CACHE = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 

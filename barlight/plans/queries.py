@@ -107,6 +107,17 @@ def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oos.evaluated(history, test, rows, DAILY)
 
 
+def stored_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `tested`, from a stage of predictions by month, to which a second run has written the last months anew."""
+    path = shared_dir(spark, "stage")
+    rows = targets.thinned(predicted(spark, sf_dir), HORIZON).select(KEY, "ts", "prediction", features.LABEL)
+    rows = written(rows, "predictions")
+    sources.write_monthly(rows, path)
+    sources.write_monthly(rows.filter(F.col("ts") >= F.lit(CUTOFF).cast("timestamp")), path)
+    history = sources.prediction_history(sources.read_monthly(spark, path, end=CUTOFF), CUTOFF)
+    return oos.evaluated(history, sources.read_monthly(spark, path, begin=CUTOFF), sources.read_monthly(spark, path), DAILY)
+
+
 def select_sql(ctes: str, table: str, columns: dict[str, str], where: str = "") -> str:
     """SQL of a query: columns by kind, d (8 digits), e (7 significant), i (long), s (as is), t (day), u (and time)."""
     form = {"e": "CASE WHEN {0} IS NOT NULL THEN printf('%.6e', {0}::DOUBLE) END", "d": "round({0}::DOUBLE + 1e-12::DOUBLE, 8)", "i": "({0})::BIGINT", "s": "{0}", "t": "strftime({0}, '%Y-%m-%d')", "u": "strftime({0}, '%Y-%m-%d %H:%M:%S')"}
@@ -735,14 +746,15 @@ ts_ AS (SELECT series_id, count(*) AS test_rows, count(*) FILTER (position = 1)
 o AS (SELECT * FROM ts_ LEFT JOIN tic USING (series_id))""",
     "o",
 )
+_OOS_MONTHLY = kinds(
+    "signal_frequency gross_bps gross_hit_rate cost_bps monthly_return pearson_ic spearman_ic",
+    "n_rows active_periods",
+    s=f"{KEY} month is_partial",
+)
 query(
     "oos_monthly",
     lambda s, d: oos.monthly(tested(s, d)),
-    kinds(
-        "signal_frequency gross_bps gross_hit_rate cost_bps monthly_return pearson_ic spearman_ic",
-        "n_rows active_periods",
-        s=f"{KEY} month is_partial",
-    ),
+    _OOS_MONTHLY,
     sql.oos(CUTOFF)
     + ","
     + sql.ic("tst", "series_id, month", "mic").replace("count(*) AS n_rows", "count(*) AS n_ic")
@@ -754,6 +766,8 @@ om AS (SELECT series_id, month, count(*) AS n_rows, count(*) FILTER (position =
 o AS (SELECT * FROM om LEFT JOIN mic USING (series_id, month))""",
     "o",
 )
+QUERIES["oos_stored"] = lambda s, d: tidy(oos.monthly(stored_test(s, d)), *_OOS_MONTHLY)
+ORACLES["oos_stored"] = ORACLES["oos_monthly"]
 query(
     "ordered_index",
     lambda s, d: ordered.ordered_index(daily(s, d), ["ts"]),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlight.functions.stats import KEY
+from barlight.functions.stats import KEY, month
 
 BARS = T.StructType(
     [
@@ -37,14 +37,36 @@ def clean_bars(bars: DataFrame, tie: Column | None = None) -> DataFrame:
     return bars.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
 
 
-def write_stage(df: DataFrame, path: str, by: list[str] | None = None, fmt: str = "parquet") -> None:
-    """Write a stage's table, partitioned for pruning; CSV for small metric tables."""
+def write_stage(df: DataFrame, path: str, by: list[str] | None = None, fmt: str = "parquet", replace: str = "all") -> None:
+    """Write a stage's table, partitioned for pruning; CSV for small metric tables.
+
+    replace="parts" replaces only the partitions that df has rows of: a run writes its months and
+    leaves the others as they are.
+    """
     writer = df.write.mode("overwrite")
     if by:
         writer = writer.partitionBy(*by)
+    if replace == "parts":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)
 
 
+def write_monthly(df: DataFrame, path: str) -> None:
+    """Write a stage's rows by month (a text like 2001-01, the column `month`) in place of those of the same months."""
+    rows = df.withColumn("month", month(F.col("ts")))
+    write_stage(rows.repartition("month"), path, ["month"], replace="parts")
+
+
+def read_monthly(spark: SparkSession, path: str, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """A stage's rows from the time `begin` to before `end`; only the months between are listed and read."""
+    rows = spark.read.option("recursiveFileLookup", False).parquet(path).withColumn("month", F.col("month").cast("string"))
+    if begin:
+        rows = rows.filter((F.col("month") >= begin[:7]) & (F.col("ts") >= F.lit(begin).cast("timestamp")))
+    if end:
+        rows = rows.filter((F.col("month") <= end[:7]) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    return rows.drop("month")
+
+
 def prediction_history(predictions: DataFrame, cutoff: str) -> DataFrame:
     """Predictions before the cutoff, one a series and time; the filter reaches the scan."""
     rows = predictions.filter(F.col("ts") < F.lit(cutoff).cast("timestamp")).select(KEY, "ts", "prediction")

@@ -10,6 +10,7 @@ from test_market import START, bars, predictions, sequential
 
 from barlight.functions.stats import KEY
 from barlight.operators import backtest, drift, features, monitor, ordered, validate
+from barlight.sources import bars as sources
 
 
 def whole_series_windows(df):
@@ -112,3 +113,17 @@ def test_monthly_quantiles_have_no_percentile_of_a_group(spark):
     got, held = found.toPandas().set_index("month"), rows.toPandas()
     for month, part in held.groupby(held.ts.dt.strftime("%Y-%m")):
         np.testing.assert_allclose(got.loc[month, ["prediction_p01", "prediction_p99"]].astype(float), part.prediction.quantile([0.01, 0.99]))
+
+
+def test_a_month_is_written_anew_and_others_are_neither_touched_nor_read(spark, tmp_path):
+    path, rows = str(tmp_path / "stage"), predictions(spark, range(90))
+    sources.write_monthly(rows, path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "stage").glob("month=*/*.parquet")}
+    sources.write_monthly(rows.filter("month(ts) = 2").withColumn("prediction", F.col("prediction") + 100), path)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "stage").glob("month=*/*.parquet")}
+    kept = {p for p in before if "2024-02" not in str(p)}
+    assert kept and kept == {p for p in after if "2024-02" not in str(p)} and all(before[p] == after[p] for p in kept)
+    part = sources.read_monthly(spark, path, "2024-02-10", "2024-03-02")
+    assert sorted(r.prediction for r in part.collect()) == [60.0, *(float(i + 100) for i in range(40, 60))]
+    assert len(part.inputFiles()) == 3 and "PartitionFilters: [isnotnull(month" in part._jdf.queryExecution().executedPlan().toString()
+    assert sources.read_monthly(spark, path).count() == 90

@@ -12,7 +12,7 @@ from barlight.config import DAILY, HALF_HOUR
 from barlight.functions.stats import KEY, month
 from barlight.operators import backtest, drift, features, metrics, models, monitor, oos, ordered, targets, validate
 from barlight.plans import sql
-from barlight.session import shared_dir, written
+from barlight.session import shared_dir, written, written_at
 from barlight.sources import bars as sources
 
 VALIDATION, TEST = "2000-01-01", "2001-01-01"
@@ -380,7 +380,7 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit, valid = _fit_and_valid()
     rows = targets.normalized(_table(spark, sf_dir), None).filter(fit | valid)
     losses = {"l1": "absolute", "l2": "squared", "huber": "huber"}
-    return written(models.comparison(rows, fit, valid, losses, COMPARED_TREES, PATIENCE, STEP, ("close", features.LABEL)), "compared")
+    return models.comparison(rows, fit, valid, losses, COMPARED_TREES, PATIENCE, STEP, ("close", features.LABEL))
 
 
 def _target_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,9 +406,28 @@ def _walkforward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return rows, models.walkforward(rows, months, HORIZON, WALK_TREES, skip_empty=True, clip=DAILY.clip, patience=PATIENCE, step=STEP)
 
 
+#: Paths of trained predictions by application, tables and name: queries that look at the same models train them once.
+_trained: dict[tuple[str, str, str], str] = {}
+
+
+def trained(name: str, make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Predictions as a stored stage of this application: written by the first query that needs them, read by all."""
+
+    def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _trained:
+            utc(spark)
+            _trained[key] = written_at(make(spark, sf_dir), name)[1]
+        return utc(spark).read.parquet(_trained[key])
+
+    return stored
+
+
+_compared_once = trained("compared", _compared)
+_walked_once = trained("walked", lambda spark, sf_dir: _walkforward(spark, sf_dir)[1])
 _SCORES = kinds("mae rmse pearson_ic spearman_ic trimmed_pearson_ic trimmed_spearman_ic", "n_rows", s="model")
 query("ridge_score", _ridge, kinds("mae rmse pearson_ic", "n_rows"))
-query("gbt_comparison", lambda s, d: models.model_scores(_compared(s, d)), _SCORES)
+query("gbt_comparison", lambda s, d: models.model_scores(_compared_once(s, d)), _SCORES)
 query(
     "gbt_targets",
     _target_variants,
@@ -420,12 +439,12 @@ query(
         s="model",
     ),
 )
-query("best_model", lambda s, d: models.best_model(_compared(s, d)), kinds("close future_return prediction", s=f"{KEY} model", t="ts"))
-query("walkforward_predictions", lambda s, d: _walkforward(s, d)[1], kinds("prediction", "best_iteration", s=f"{KEY} prediction_month", t="ts"))
+query("best_model", lambda s, d: models.best_model(_compared_once(s, d)), kinds("close future_return prediction", s=f"{KEY} model", t="ts"))
+query("walkforward_predictions", _walked_once, kinds("prediction", "best_iteration", s=f"{KEY} prediction_month", t="ts"))
 
 
 def _fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, found = _walkforward(spark, sf_dir)
+    rows, found = targets.normalized(_table(spark, sf_dir), "volatility_48"), _walked_once(spark, sf_dir)
     return models.fold_report(targets.folds(rows, TEST, HORIZON, skip_empty=True), found)
 
 

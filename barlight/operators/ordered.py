@@ -170,18 +170,21 @@ class Expanding:
     """What came before each of some periods, without copying rows to all later periods.
 
     rows(by.., period, value) are counted by value and period, numbered by value and cut into blocks of `block`
-    counts, so that a value which many rows have is as many rows as it has periods. How many rows
+    counts, so that a value which many rows have is as many rows as it has periods. Unless given, a block has the
+    square root of its group's number of counts: the table of blocks and periods and the counts that a
+    bound looks at then grow alike. How many rows
     of a block belong to periods before `until` is a small table; a wanted rank or bound lies in
     one block, and only that block's counts are looked at. `untils` has by.. and `until`, which is
     compared with `period`: a list per group that the calendar bounds. Null values are left out.
     """
 
-    def __init__(self, rows: DataFrame, value: Column, by: list[str], period: Column, untils: DataFrame, block: int = 1024) -> None:
+    def __init__(self, rows: DataFrame, value: Column, by: list[str], period: Column, untils: DataFrame, block: int | None = None) -> None:
         self.by, self.at = by, [*by, "until"]
         values = rows.select(*by, period.alias("period"), value.alias("v")).filter("v is not null")
         counted = values.groupBy(*by, "v", "period").agg(F.count(F.lit(1)).alias("times"))
-        numbered = ordered_index(counted, ["v", "period"], by=by).withColumn("block", F.floor((F.col("rn") - 1) / block))
-        self.rows = written(numbered, "blocks")
+        numbered = ordered_index(counted, ["v", "period"], by=by, size="__size")
+        size = F.lit(block) if block else F.ceil(F.sqrt("__size"))
+        self.rows = written(numbered.withColumn("block", F.floor((F.col("rn") - 1) / size)).drop("__size"), "blocks")
         blocks = self.rows.groupBy(*by, "block").agg(F.max("v").alias("high"))
         lower = F.lag("high").over(Window.partitionBy(*by).orderBy("block"))
         counts = self.rows.groupBy(*by, "block", "period").agg(F.sum("times").alias("c"))

@@ -615,7 +615,7 @@ o AS (SELECT series_id, count(*) AS holdings, avg(n) AS mean_length, quantile_co
 
 query(
     "psi_monthly",
-    lambda s, d: drift.monthly_psi(held(s, d)),
+    lambda s, d: drift.monthly_psi(targets.thinned(predicted(s, d), HORIZON)),
     kinds(" ".join(f"{c}_psi" for c in drift.WATCHED), s=f"{KEY} month"),
     sql.backtested() + "," + sql.psi(),
     "psi_m",

@@ -247,7 +247,7 @@ def test_expanding_quantiles_and_counts_by_blocks(spark):
     untils = spark.createDataFrame([(k, u) for k in ("a", "b") for u in range(8)], f"{KEY} string, until int")
     points = [0.0, 0.1, 0.5, 0.995, 1.0]
     bounds = [0.0, 3.5, 17.0, 30.0]
-    for block in (1, 7, 1000):
+    for block in (1, 7, 1000, None):
         before = ordered.Expanding(frame, F.col("v"), [KEY], F.col("p"), untils, block)
         got = {(r[KEY], r.until): r for r in before.quantiles(points).collect()}
         wanted = untils.filter(f"{KEY} = 'a'").withColumn("bound", F.explode(F.array(*map(F.lit, bounds))))

@@ -2,14 +2,15 @@
 
 A shard holds the ids of whole documents in ascending doc_id order as one succinct bit plane per
 id bit, most significant first. Rank and select on the planes give token access, counting and
-occurrence lookup without decoding the shard.
+occurrence lookup without decoding the shard: planes are compressed in chunks, and a question
+inflates the chunks that it looks at, two a plane at most for a token, a count or an occurrence.
 """
 
 from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark import TaskContext
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from barlight.llm.common import arrow_map, shared_dir, slices
 from barlight.llm.tokens import default_tokenizer, encoder
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 BLOCK = 512  # bits between stored ranks
+CHUNK = 64 * BLOCK  # bits that are compressed together
+HELD = 16  # inflated chunks that a stored plane remembers
 SHARD_TOKENS = 1 << 17
 
 
@@ -67,11 +70,86 @@ class Plane:
         part = np.unpackbits(self.bytes[begin // 8 : (begin + BLOCK) // 8], bitorder="little")[: self.n - begin]
         return begin + int(np.flatnonzero(part == bit)[k - int(ranks[block])])
 
+    def select_all(self, bit: int, ks: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.bits == bool(bit))[ks]
+
+
+class StoredPlane:
+    """A bit vector in compressed chunks, of which only those in question are inflated.
+
+    `ones` counts the ones before each chunk, and all in the end; `inflated` the bytes inflated so far.
+    """
+
+    def __init__(self, n: int, ones: np.ndarray, chunks: list[memoryview], expand: Callable[[memoryview], bytes]) -> None:
+        self.n, self.ones, self.chunks, self.expand = n, ones.astype(np.int64), chunks, expand
+        self.starts = np.minimum(np.arange(len(ones)) * CHUNK, n)
+        self.held: dict[int, Plane] = {}
+        self.inflated = 0
+
+    def _opened(self, c: int) -> bytes:
+        out = self.expand(self.chunks[c])
+        self.inflated += len(out)
+        return out
+
+    def chunk(self, c: int) -> Plane:
+        if c not in self.held:
+            if len(self.held) >= HELD:
+                self.held.pop(next(iter(self.held)))
+            size = int(self.starts[c + 1] - self.starts[c])
+            out = self._opened(c)
+            ranks = np.frombuffer(out, "<u2", -(-size // BLOCK) + 1)
+            self.held[c] = Plane(np.frombuffer(out, np.uint8, offset=ranks.nbytes), size, ranks)
+        return self.held[c]
+
+    @property
+    def bits(self) -> np.ndarray:
+        parts = []
+        for c in range(len(self.chunks)):
+            ranks = 2 * (-(-int(self.starts[c + 1] - self.starts[c]) // BLOCK) + 1)
+            parts.append(self._opened(c)[ranks:])
+        return np.unpackbits(np.frombuffer(b"".join(parts), np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def _each(self, at: np.ndarray, out: np.ndarray, found: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+        """out, where what is found in chunk at[..] is added."""
+        for c in np.unique(at).tolist():
+            here = at == c
+            out[here] += found(c, here)
+        return out
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        i = np.asarray(i, np.int64)
+        return self._each(i // CHUNK, np.zeros(i.shape, np.int64), lambda c, here: self.chunk(c).get(i[here] % CHUNK))
+
+    def rank1(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i (0 to n)."""
+        i = np.asarray(i, np.int64)
+        out = self.ones[i // CHUNK]
+        inside = np.where(i % CHUNK > 0, i // CHUNK, -1)
+
+        def found(c: int, here: np.ndarray) -> np.ndarray:
+            return self.chunk(c).rank1(i[here] % CHUNK) if c >= 0 else np.zeros(int(here.sum()), np.int64)
+
+        return self._each(inside, out, found)
+
+    def _before(self, bit: int) -> np.ndarray:
+        return self.ones if bit else self.starts - self.ones
+
+    def select(self, bit: int, k: int) -> int:
+        """Position of the k-th (from 0) one or zero."""
+        before = self._before(bit)
+        c = int(np.searchsorted(before, k, "right")) - 1
+        return int(self.starts[c]) + self.chunk(c).select(bit, k - int(before[c]))
+
+    def select_all(self, bit: int, ks: np.ndarray) -> np.ndarray:
+        before = self._before(bit)
+        at = np.searchsorted(before, ks, "right") - 1
+        return self._each(at, self.starts[at], lambda c, here: self.chunk(c).select_all(bit, ks[here] - before[c]))
+
 
 class WaveletMatrix:
     """ids of at most `width` bits as planes; after each plane zeros come before ones, in order."""
 
-    def __init__(self, n: int, planes: list[Plane], zeros: list[int]) -> None:
+    def __init__(self, n: int, planes: list[Plane] | list[StoredPlane], zeros: list[int]) -> None:
         self.n, self.planes, self.zeros = n, planes, zeros
 
     @classmethod
@@ -133,48 +211,77 @@ class WaveletMatrix:
             i = self.planes[level].select(bit, i - self.zeros[level] if bit else i)
         return i
 
+    def occurrences(self, symbol: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Positions of an id in [begin, end), ascending: select of all of them, plane by plane."""
+        i = np.arange(*self._range(symbol, begin, self.n if end is None else end))
+        for level in range(len(self.planes) - 1, -1, -1):
+            bit = symbol >> (len(self.planes) - 1 - level) & 1
+            if len(i):
+                i = self.planes[level].select_all(bit, i - self.zeros[level] if bit else i)
+        return i
+
 
 def to_bytes(doc_ids: list[int | None], lengths: list[int], matrix: WaveletMatrix) -> bytes:
-    """The shard file: header, document table, then each plane with its rank directory, compressed."""
+    """The shard file: header, directory, document table, then the chunks of each plane, compressed one by one.
+
+    The directory has the size of each chunk and the ones before it; a chunk has its own ranks.
+    """
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
     known = np.array([d is not None for d in doc_ids])
     ids = np.array([d or 0 for d in doc_ids], "<i8")
-    table = known.tobytes() + ids.tobytes() + np.array(lengths, "<i8").tobytes()
-    parts = [squeeze(table)] + [squeeze(p.ranks.tobytes() + p.bytes.tobytes()) for p in matrix.planes]
+    table = squeeze(known.tobytes() + ids.tobytes() + np.array(lengths, "<i8").tobytes())
+    sizes, ones, parts = [], [], []
+    for p in matrix.planes:
+        for begin in range(0, p.n, CHUNK):
+            end = min(begin + CHUNK, p.n)
+            ranks = p.ranks[begin // BLOCK : -(-end // BLOCK) + 1]
+            parts.append(squeeze((ranks - ranks[0]).astype("<u2").tobytes() + p.bytes[begin // 8 : -(-end // 8)].tobytes()))
+            sizes.append(len(parts[-1]))
+            ones.append(int(ranks[0]))
+        ones.append(int(p.ranks[-1]))
     out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<QQI", len(doc_ids), matrix.n, len(matrix.planes)))
-    out.write(struct.pack(f"<{len(matrix.zeros)}Q", *matrix.zeros))
-    out.write(struct.pack(f"<{len(parts)}Q", *map(len, parts)))
-    out.write(b"".join(parts))
+    out.write(MAGIC + struct.pack("<QQIQ", len(doc_ids), matrix.n, len(matrix.planes), len(table)))
+    out.write(np.array(matrix.zeros, "<u8").tobytes() + np.array(sizes, "<u4").tobytes() + np.array(ones, "<u8").tobytes())
+    out.write(table + b"".join(parts))
     return out.getvalue()
 
 
-def from_bytes(blob: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
-    """Open a shard: its doc_ids, their token counts and the wavelet matrix."""
+def opened(blob: bytes) -> tuple[Callable[[], tuple[list[int | None], list[int]]], WaveletMatrix]:
+    """A shard's wavelet matrix, of which nothing is inflated yet, and a function that reads its document table."""
     import zstandard
 
     if blob[:8] != MAGIC:
         raise ValueError("not a wavelet shard")
     expand = zstandard.ZstdDecompressor().decompress
-    docs, n, width = struct.unpack_from("<QQI", blob, 8)
-    at = 28
-    zeros = list(struct.unpack_from(f"<{width}Q", blob, at))
-    sizes = struct.unpack_from(f"<{width + 1}Q", blob, at + 8 * width)
-    at += 8 * width + 8 * (width + 1)
-    parts = []
-    for size in sizes:
-        parts.append(expand(blob[at : at + size]))
-        at += size
-    known = np.frombuffer(parts[0], bool, docs)
-    ids = np.frombuffer(parts[0], "<i8", docs, docs).tolist()
-    lengths = np.frombuffer(parts[0], "<i8", docs, docs * 9).tolist()
-    n_ranks = -(-(-(-n // 64)) // (BLOCK // 64)) + 1
-    planes = [
-        Plane(np.frombuffer(p, np.uint8, offset=4 * n_ranks), n, np.frombuffer(p, "<u4", n_ranks)) for p in parts[1:]
-    ]
-    return [i if k else None for i, k in zip(ids, known, strict=True)], lengths, WaveletMatrix(n, planes, zeros)
+    docs, n, width, table = struct.unpack_from("<QQIQ", blob, 8)
+    chunks = -(-n // CHUNK)
+    at = 36
+    zeros = np.frombuffer(blob, "<u8", width, at).tolist()
+    sizes = np.frombuffer(blob, "<u4", width * chunks, at + 8 * width).tolist()
+    at += 8 * width + 4 * width * chunks
+    ones = np.frombuffer(blob, "<u8", width * (chunks + 1), at).reshape(width, chunks + 1)
+    at += 8 * width * (chunks + 1)
+    view = memoryview(blob)
+    begin = at
+    ends = (at + table + np.cumsum([0, *sizes])).tolist()
+    parts = [view[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    planes = [StoredPlane(n, ones[i], parts[i * chunks : (i + 1) * chunks], expand) for i in range(width)]
+
+    def documents() -> tuple[list[int | None], list[int]]:
+        raw = expand(view[begin : begin + table])
+        known = np.frombuffer(raw, bool, docs)
+        ids = np.frombuffer(raw, "<i8", docs, docs).tolist()
+        return [i if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(raw, "<i8", docs, docs * 9).tolist()
+
+    return documents, WaveletMatrix(n, planes, zeros)
+
+
+def from_bytes(blob: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
+    """Open a shard: its doc_ids, their token counts and the wavelet matrix."""
+    documents, matrix = opened(blob)
+    return *documents(), matrix
 
 
 def write_shards(
@@ -273,6 +380,47 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def count_ids(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """id and n, how often each of these ids occurs in the shards: counted on the compressed files, 0 where it doesn't."""
+    wanted = sorted(set(ids))
+
+    def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
+        for batch in batches:
+            for blob in batch["blob"]:
+                matrix = opened(blob)[1]
+                yield {"id": wanted, "n": [matrix.count(i) for i in wanted]}
+
+    found = arrow_map(spark.read.parquet(path).select("blob"), rows, "id long, n long")
+    none = spark.createDataFrame([(i, 0) for i in wanted], "id long, n long")
+    return found.unionByName(none).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def find_ids(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """id, doc_id and position (tokens of the document before it) of every occurrence of these ids.
+
+    Looked up in the compressed files; the document table of a shard is read only where one is found.
+    """
+    wanted = sorted(set(ids))
+
+    def rows(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, object]]:
+        for batch in batches:
+            for blob in batch["blob"]:
+                documents, matrix = opened(blob)
+                doc_ids = ends = None
+                for i in wanted:
+                    at = matrix.occurrences(i)
+                    if not len(at):
+                        continue
+                    if ends is None:
+                        doc_ids, lengths = documents()
+                        ends = np.cumsum(lengths)
+                        starts = ends - lengths
+                    doc = np.searchsorted(ends, at, "right")
+                    yield {"id": [i] * len(at), "doc_id": [doc_ids[d] for d in doc.tolist()], "position": (at - starts[doc]).tolist()}
+
+    return arrow_map(spark.read.parquet(path).select("blob"), rows, "id long, doc_id long, position long")
+
+
 def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written to wavelet shards and read back; a row per document."""
     path = shared_dir(spark, "wavelet")

@@ -136,6 +136,56 @@ def test_wavelet_rank_select():
     assert wavelet.WaveletMatrix.build(np.zeros(0, int), 16).count(5) == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 511, 512, wavelet.CHUNK, wavelet.CHUNK + 1, 400_003])
+def test_stored_wavelet_by_brute_force(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), 49_000).astype(int)
+    docs, lengths, m = wavelet.from_bytes(wavelet.to_bytes([3, None], [n // 2, n - n // 2], wavelet.WaveletMatrix.build(ids, 16)))
+    assert docs == [3, None] and lengths == [n // 2, n - n // 2] and (m.decode() == ids).all()
+    some = rng.integers(0, n, 200) if n else np.zeros(0, int)
+    assert (m.access(some) == ids[some]).all()
+    for symbol in {*ids[:1].tolist(), *ids[-1:].tolist(), 0, 1, 2, 48_999, 70_000}:
+        at = np.flatnonzero(ids == symbol)
+        begin, end = sorted(rng.integers(0, n + 1, 2).tolist())
+        inside = at[(at >= begin) & (at < end)]
+        assert m.count(symbol) == len(at) and m.count(symbol, begin, end) == len(inside)
+        assert (m.occurrences(symbol) == at).all() and (m.occurrences(symbol, begin, end) == inside).all()
+        for k in {0, len(at) // 2, len(at) - 1} if len(at) else ():
+            assert m.select(symbol, k) == at[k]
+
+
+def test_stored_wavelet_inflates_what_is_asked_for():
+    n = 40 * wavelet.CHUNK
+    ids = np.random.default_rng(1).integers(0, 1 << 16, n)
+    blob = wavelet.to_bytes([1], [n], wavelet.WaveletMatrix.build(ids, 16))
+    chunk = wavelet.CHUNK // 8 + 2 * (wavelet.CHUNK // wavelet.BLOCK + 1)
+
+    def inflated(ask):
+        m = wavelet.opened(blob)[1]
+        ask(m)
+        return max(p.inflated for p in m.planes) / chunk, sum(p.inflated for p in m.planes)
+
+    assert inflated(lambda m: None) == (0, 0)
+    assert inflated(lambda m: m.access(np.array([n // 2])))[0] <= 1
+    assert inflated(lambda m: m.count(int(ids[5])))[0] <= 2
+    assert inflated(lambda m: m.select(int(ids[5]), 0))[0] <= 3  # two of the range, one on the way up
+    assert inflated(lambda m: m.count(int(ids[5]), 1000, n - 1000))[1] < len(blob) / 10
+
+
+def test_op2_ids_are_counted_and_found_in_stored_shards(spark, encoder, tmp_path):
+    docs = awkward(spark)
+    wavelet.write_shards(docs, str(tmp_path / "a"), shard_tokens=500, partitions=3)
+    all_ids = [(r.doc_id, np.frombuffer(encoder([r.text])[0], "<u4").tolist()) for r in docs.collect()]
+    wanted = sorted({1, all_ids[0][1][0], *max((i for _, i in all_ids), key=len)[:40:7], 48_998})
+    found = collections.Counter((i, d, p) for d, ids in all_ids for p, i in enumerate(ids) if i in wanted)
+    assert collections.Counter(tuple(r) for r in wavelet.find_ids(spark, str(tmp_path / "a"), wanted).collect()) == found
+    counts = {i: sum(v for k, v in found.items() if k[0] == i) for i in wanted}
+    assert {r.id: r.n for r in wavelet.count_ids(spark, str(tmp_path / "a"), wanted + wanted).collect()} == counts
+    wavelet.write_shards(nothing(spark), str(tmp_path / "b"))
+    assert wavelet.find_ids(spark, str(tmp_path / "b"), [1]).count() == 0
+    assert [tuple(r) for r in wavelet.count_ids(spark, str(tmp_path / "b"), [1]).collect()] == [(1, 0)]
+
+
 def test_op2(spark, encoder, tmp_path):
     docs = awkward(spark)
     wavelet.write_shards(docs, str(tmp_path / "a"), shard_tokens=500, partitions=3)

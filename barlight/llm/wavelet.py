@@ -159,9 +159,9 @@ class WaveletMatrix:
         for shift in range(width - 1, -1, -1):
             ones = (order & order.dtype.type(1 << shift)).astype(bool)
             planes.append(Plane(np.packbits(ones, bitorder="little"), len(order)))
-            low = order[~ones]
+            low = order.compress(~ones)
             zeros.append(len(low))
-            order = np.concatenate([low, order[ones]])
+            order = np.concatenate([low, order.compress(ones)])
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:

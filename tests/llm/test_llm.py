@@ -442,6 +442,29 @@ def test_op5_awkward(spark):
     assert row.c > 0.7 and abs(row.n - 896) < 250 and row.back
 
 
+def test_op5_sketches_of_parts_merge(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i % 700}" for i in range(1500)]
+    parts = [words[a : a + 504] for a in range(0, 1500, 500)]  # neighbours share four words, so no shingle is lost
+    made = spark.createDataFrame([(" ".join(words), [" ".join(p) for p in parts])], "whole string, parts array<string>")
+    each = F.array(*[fingerprints.sketch(F.col("parts")[i]) for i in range(3)])
+    row = made.select(fingerprints.merged(each).alias("m"), fingerprints.sketch(F.col("whole")).alias("w")).first()
+    assert len(row.w) == fingerprints.K and row.m == row.w
+
+
+def test_op5_likeness_to_the_next_document(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(7 * i, " ".join(words[i : i + 40 - i % 3])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    order = sorted(found, reverse=True)
+    for d, after in zip(order, [*order[1:], order[0]], strict=True):
+        a, b = set(found[d].sketch), set(found[after].sketch)
+        union = set(sorted(a | b)[: fingerprints.K])
+        assert abs(found[d].near_next - len(a & b & union) / len(union)) < 1e-12
+
+
 def sentences(seed, n, words, each=9):
     """n sentences of `each` invented words."""
     rng = np.random.default_rng(seed)
